@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzframe.llm import common, mixing, packing, simhash
+from quartzframe.llm import common, mixing, packing, quality_rules, simhash
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(common.read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_mixing": op4_mixing,
+        "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
     }
 
@@ -71,5 +76,42 @@ FROM ordered
 """
 
 
+OP9_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM docs),
+line AS (
+  SELECT rid, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         trim(regexp_replace(lower(line), '[^\p{L}]+', ' ', 'g')) AS normal
+  FROM (SELECT rid, source, unnest(lines) AS line FROM split)),
+keyed AS (SELECT DISTINCT rid, source, substr(md5(normal), 1, 16) AS key FROM line WHERE normal <> ''),
+pair AS (
+  SELECT source, key, CASE WHEN key = least_key THEN second_key ELSE least_key END AS around FROM (
+    SELECT *, first_value(key) OVER w AS least_key, nth_value(key, 2) OVER w AS second_key FROM keyed
+    WINDOW w AS (PARTITION BY rid ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))),
+boiler AS (
+  SELECT source, key FROM pair GROUP BY source, key
+  HAVING count(DISTINCT coalesce(around, '')) >= 10 AND 2 * count(DISTINCT coalesce(around, '')) >= count(*)),
+removed AS (
+  SELECT rid, sum(n) AS n FROM line l JOIN boiler b
+    ON l.source IS NOT DISTINCT FROM b.source AND normal <> '' AND substr(md5(normal), 1, 16) = b.key
+  GROUP BY rid),
+win AS (
+  SELECT rid, i, list_slice(words, i, i + 7) AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM split WHERE len(words) > 8)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM win) WHERE n > 1),
+rep AS (
+  SELECT rid, sum(least(8, coalesce(next, i + 8) - i)) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS next FROM twice)
+  GROUP BY rid),
+dup AS (SELECT rid, sum(n - 1) AS n FROM (SELECT rid, line, count(*) AS n FROM line WHERE n > 0 GROUP BY rid, line) GROUP BY rid),
+figures AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, (len(words) - coalesce(removed.n, 0))::BIGINT AS n_left_words
+  FROM split LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN removed USING (rid))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_left_words >= 20 AND n_left_words >= 0.2 * n_words AS kept
+FROM figures
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL}
+    return {"op4_mixing": OP4_SQL, "op9_quality_rules": OP9_SQL}
