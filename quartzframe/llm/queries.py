@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzframe.llm import common, mixing, packing, quality_rules, simhash
+from quartzframe.llm import common, mixing, packing, pii, quality_rules, simhash
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(common.read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(common.read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_mixing": op4_mixing,
+        "op6_pii": op6_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
     }
