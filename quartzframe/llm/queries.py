@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzframe.llm import common, mixing, packing, pii, quality_rules, simhash, topk
+from quartzframe.llm import common, mixing, packing, pii, quality_rules, simhash, suffix_dedup, topk
 
 
 def tokenizer_path() -> str:
@@ -32,6 +32,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(common.read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(common.read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_topk": op2_topk,
         "op4_mixing": op4_mixing,
         "op6_pii": op6_pii,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
     }
