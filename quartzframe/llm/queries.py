@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzframe.llm import common, mixing, packing, pii, quality_rules, simhash, suffix_dedup, topk
+from quartzframe.llm import common, license_scan, mixing, packing, pii, quality_rules, simhash, suffix_dedup, topk
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.read(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(common.read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).drop("source")
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_topk": op2_topk,
+        "op3_license_scan": op3_license_scan,
         "op4_mixing": op4_mixing,
         "op6_pii": op6_pii,
         "op7_suffix_dedup": op7_suffix_dedup,
@@ -67,6 +72,33 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+def _op3_sql() -> str:
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES.items())
+    templates = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
+phrase(p, label) AS (VALUES {phrases}),
+place AS (
+  SELECT rid, label, i - 1 AS place_no FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM words), phrase
+  WHERE w[i] = string_split(p, ' ')[1] AND list_slice(w, i, i + len(string_split(p, ' ')) - 1) = string_split(p, ' ')),
+based AS (
+  SELECT rid, count(*) AS n_base, min(place_no) AS first_word, max(place_no) AS last_word, list(DISTINCT label) AS found FROM place GROUP BY rid),
+template(id, label, t) AS (VALUES {templates}),
+block AS (SELECT rid, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs)),
+hit AS (
+  SELECT rid, label, len(list_intersect(w, t)) / len(list_distinct(t)) AS containment FROM block, template
+  WHERE len(list_intersect(w, t)) >= ceil({license_scan.THRESHOLD} * len(list_distinct(t)))),
+matched AS (SELECT rid, list(DISTINCT label) AS found, max(containment) AS containment FROM hit GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(b.found, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(m.found, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(m.containment, 0)::DOUBLE END AS score
+FROM words LEFT JOIN based b USING (rid) LEFT JOIN matched m USING (rid)
+"""
+
+
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -140,4 +172,4 @@ FROM figures
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op4_mixing": OP4_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op2_topk": OP2_SQL, "op3_license_scan": _op3_sql(), "op4_mixing": OP4_SQL, "op9_quality_rules": OP9_SQL}
