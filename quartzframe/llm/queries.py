@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzframe.llm import common, license_scan, mixing, packing, pii, quality_rules, simhash, suffix_dedup, topk
+from quartzframe.llm import common, html_extract, license_scan, mixing, packing, pii, quality_rules, simhash, suffix_dedup, topk
 
 
 def tokenizer_path() -> str:
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(common.read(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(common.read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_topk": op2_topk,
         "op3_license_scan": op3_license_scan,
         "op4_mixing": op4_mixing,
+        "op5_html_extract": op5_html_extract,
         "op6_pii": op6_pii,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op9_quality_rules": op9_quality_rules,
