@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzframe.llm import common, html_extract, license_scan, mixing, packing, pii, quality_rules, simhash, suffix_dedup, topk
+from quartzframe.llm import common, html_extract, license_scan, mixing, packing, pii, quality_model, quality_rules, simhash, suffix_dedup, topk
 
 
 def tokenizer_path() -> str:
@@ -44,6 +44,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(common.read(spark, sf_dir, "documents"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(common.read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_extract": op5_html_extract,
         "op6_pii": op6_pii,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_quality_model": op8_quality_model,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash": op10_simhash,
     }
