@@ -3,9 +3,9 @@
 Suffixes are ordered through ``threshold`` bytes only, most significant digits first, and a suffix leaves as soon as
 it is alone with its digits. Whole suffix tables do not fit, so the first digit is taken where texts agree to take it:
 
-1. First digit: of every window of ``threshold`` bytes, the least of its 200-byte grams by hash is its anchor. Equal
+1. First digit: of every window of ``threshold`` bytes, the least of its 256-byte grams by hash is its anchor. Equal
    windows have the same anchor, so a window whose anchor's gram is alone in the corpus is alone. Only anchors are
-   sent, about one for 100 bytes, and most leave here.
+   sent, about one for 70 bytes, and most leave here.
 2. Second digit: the bytes around the gram, as far as windows of this anchor can reach. Where two anchors agree in
    these, all windows around both are repeated.
 3. Last digit: where anchors share the gram but not all around, one anchor of each kind sends its windows, all
@@ -13,7 +13,8 @@ it is alone with its digits. Whole suffix tables do not fit, so the first digit
 
 All windows around one anchor overlap in its gram, so an anchor needs only its first and last repeated window, and a
 document the union of its anchors' intervals. Digits are compared as two independent 64-bit polynomial hashes.
-Groups are counted with partial sums and rejoined, never gathered: a passage in any number of documents is one count.
+Grams and surroundings are counted with partial sums and rejoined. A batch settles windows that it repeats itself and
+sends one of them, so a passage in any number of documents makes groups of one row for a batch.
 
 Rows: a null text is an empty one; texts below the threshold keep all bytes. Repeated rows are documents each, so they
 repeat each other. Texts are handled whole; a text of one repeated character is linear, too. A null doc_id is kept.
@@ -28,19 +29,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzframe.llm import common
 
 THRESHOLD = 400
-GRAM = 200
+GRAM = 256
 #: Bytes of a table up to which it is broadcast.
 BROADCAST_BYTES = 64 << 20
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(m, -1, 1 << 64) for m in _MULTIPLIERS)
 ANCHORS = "doc_id long, text_hash long, at int, left int, size int, gram long, around1 long, around2 long"
-WINDOWS = "w1 long, w2 long, anchor long, start int"
+WINDOWS = "w1 long, w2 long, anchor long, first int, last int, known boolean"
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -134,26 +135,41 @@ def _anchor_rows(threshold: int, gram: int):
     return rows
 
 
+def _own_windows(data: bytes, ats: np.ndarray, ids: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Both hashes, anchor and start of the windows whose first anchor is at one of ats."""
+    prefixes = _Prefixes(data)
+    at, h, least = anchors(prefixes, threshold, gram)
+    starts = np.arange(len(least))
+    place = np.searchsorted(at, starts)
+    while len(wrong := np.flatnonzero(h[place] != least)):
+        place[wrong] += 1
+    own, order = at[place], np.argsort(ats)
+    known = ats[order]
+    hit = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    asked = known[hit] == own
+    starts = starts[asked]
+    return prefixes.hashes(starts, starts + threshold, 0), prefixes.hashes(starts, starts + threshold, 1), ids[order][hit[asked]], starts
+
+
 def _window_rows(threshold: int, gram: int):
+    """Windows of a batch, each once. Those that the batch itself repeats are settled here: their anchors' first and last
+    ones are sent as known, and one of them stays for other batches to meet. So a group has a row for a batch at most."""
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data, ats, ids in zip(batch["data"], batch["ats"], batch["ids"], strict=True):
-                prefixes = _Prefixes(data)
-                at, h, least = anchors(prefixes, threshold, gram)
-                # a window belongs to the first of its anchors
-                starts = np.arange(len(least))
-                place = np.searchsorted(at, starts)
-                while len(wrong := np.flatnonzero(h[place] != least)):
-                    place[wrong] += 1
-                own = at[place]
-                order = np.argsort(ats)
-                known, numbers = np.asarray(ats)[order], np.asarray(ids)[order]
-                hit = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                asked = known[hit] == own
-                starts = starts[asked]
-                if len(starts):
-                    w1, w2 = (prefixes.hashes(starts, starts + threshold, k).view(np.int64) for k in (0, 1))
-                    yield pd.DataFrame({"w1": w1, "w2": w2, "anchor": numbers[hit[asked]], "start": starts.astype(np.int32)})
+            made = [_own_windows(d, np.asarray(a), np.asarray(i), threshold, gram) for d, a, i in zip(batch["data"], batch["ats"], batch["ids"], strict=True)]
+            if not made:
+                continue
+            w1, w2, anchor, start = (np.concatenate(x) for x in zip(*made, strict=True))
+            order = np.lexsort((w2, w1))
+            w1, w2, anchor, start = w1[order], w2[order], anchor[order], start[order]
+            new = np.ones(len(w1), bool)
+            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            alone = new & np.append(new[1:], True)
+            settled = pd.DataFrame({"anchor": anchor[~alone], "start": start[~alone]}).groupby("anchor")["start"].agg(["min", "max"])
+            window = pd.DataFrame({"w1": w1[new].view(np.int64), "w2": w2[new].view(np.int64), "anchor": anchor[new], "first": start[new].astype(np.int32), "last": start[new].astype(np.int32), "known": False})
+            yield window
+            yield pd.DataFrame({"w1": settled.index, "w2": -1, "anchor": settled.index, "first": settled["min"].astype(np.int32), "last": settled["max"].astype(np.int32), "known": True})
 
     return rows
 
@@ -209,8 +225,9 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     lists = common.materialize(lists, "edge-lists")
     with_edges = texts.join(F.broadcast(lists) if edges.count() * 16 <= BROADCAST_BYTES else lists, _same_document(texts, lists))
     windows = with_edges.select("data", "ats", "ids").mapInPandas(_window_rows(threshold, gram), WINDOWS)
-    repeated = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    ends = windows.join(repeated, ["w1", "w2"], "left_semi").groupBy("anchor").agg(F.min("start").alias("start"), (F.max("start") + threshold).alias("end"))
+    met = F.count(F.lit(1)).over(Window.partitionBy("w1", "w2", "known")) > 1
+    repeated = windows.withColumn("repeated", F.col("known") | met).where("repeated")
+    ends = repeated.groupBy("anchor").agg(F.min("first").alias("start"), (F.max("last") + threshold).alias("end"))
     by_window = edges.where("n = 1").join(ends, "anchor").select("doc_id", "text_hash", "start", "end")
     spans = by_around.union(by_window).distinct().groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"))
     return spans.agg(F.collect_list(F.struct("start", "end")).alias("spans"))
