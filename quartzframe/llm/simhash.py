@@ -137,8 +137,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id. Rows without a doc_id stay only if
-    nothing with one is in their component; of rows that tie, one stays."""
+    nothing with one is in their component; of rows that tie, one stays. Texts are shuffled once, without a sort."""
     groups = near_duplicates(docs, shingle, seed)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(common.materialize(keep, "kept").withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows"))
+    keep = common.materialize(keep, "kept")
+    names = docs.columns
+    rows = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]))
+    if keep.where("kept_rows > 1").isEmpty():
+        return rows.select(*(docs[c] for c in names))
+    once = rows.where("kept_rows = 1").select(*(docs[c] for c in names))
+    return once.unionByName(rows.where("kept_rows > 1").select(*(docs[c] for c in names)).dropDuplicates(["doc_id"]))
