@@ -85,8 +85,8 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, columns: list[str], max_ca
     fixed = counts.select("feature").distinct().select("feature", F.explode(F.array(F.lit(OTHER), F.lit(UNSEEN))).alias("kind")).select("feature", "kind", F.lit(None).cast("string").alias("bin"), F.lit(0).alias("e"), F.lit(0).alias("a"))
     bins = bins.unionByName(fixed).groupBy("feature", "kind", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     w = Window.partitionBy("feature")
-    gap = bins.select("feature", "kind", "a", F.abs(F.col("a") / F.sum("a").over(w) - F.col("e") / F.sum("e").over(w)).alias("gap"))
-    tvd = gap.groupBy("feature").agg((0.5 * F.sum("gap")).alias("tvd"), (F.sum(F.when(F.col("kind") == UNSEEN, F.col("a")).otherwise(0)) / F.sum("a")).alias("unseen_share"))
+    gap = bins.select("feature", "kind", "a", F.abs(F.try_divide(F.col("a"), F.sum("a").over(w)) - F.try_divide(F.col("e"), F.sum("e").over(w))).alias("gap"))
+    tvd = gap.groupBy("feature").agg((0.5 * F.sum("gap")).alias("tvd"), F.try_divide(F.sum(F.when(F.col("kind") == UNSEEN, F.col("a")).otherwise(0)), F.sum("a")).alias("unseen_share"))
     return psi(bins, ["feature"]).join(tvd, "feature")
 
 

@@ -27,9 +27,10 @@ def clean_pair(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """n, r."""
+    """n, r (null if x or y does not vary)."""
     rows = clean_pair(df, x, y) if not keys else df
-    r = F.corr(F.col("x").cast("double"), F.col("y").cast("double"))
+    a, b = F.col("x").cast("double"), F.col("y").cast("double")
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     return rows.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), r.alias("r"))
 
 
@@ -81,7 +82,7 @@ def anova(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataF
         used(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"), used((F.col("n") - 1) * F.col("var")).alias("within"),
         (F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2) + F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0)))).alias("total"),
     )
-    f = (F.col("between_f") / (F.col("k") - 1)) / (F.col("within") / (F.col("n_used") - F.col("k")))
+    f = F.try_divide(F.col("between_f") / (F.col("k") - 1), F.try_divide(F.col("within"), F.col("n_used") - F.col("k")))
     return out.where("k >= 2").select(*keys, "k", "n", "n_used", F.when(F.col("within") > 0, f).alias("f"), F.when(F.col("total") > 0, F.col("between") / F.col("total")).alias("eta_squared"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,7 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
     """Delimited text with its delimiter found; Latin-1 if it is no UTF-8."""
-    broken = spark.read.text(path).where(F.col("value").contains("\ufffd")).limit(1).count() > 0
+    broken = not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
     return read_delimited(spark, path, sniff(spark, path), encoding="ISO-8859-1" if broken else "UTF-8")
 
 
@@ -74,12 +74,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """line (1 is the header) and cells of a delimited text, ragged lines kept as they are; one file, quotes honoured."""
-    text = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", "\r?\n")).alias("value"), F.monotonically_increasing_id().alias("f"))
-    numbered = text.withColumn("line", F.row_number().over(Window.partitionBy("f").orderBy(F.monotonically_increasing_id()))).where("value <> ''")
+    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).where("value <> ''")
     cell = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'
     quoted, plain = F.regexp_extract_all("value", F.lit(cell), F.lit(1)), F.regexp_extract_all("value", F.lit(cell), F.lit(2))
     cells = F.zip_with(quoted, plain, lambda q, p: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p))
-    return numbered.select(F.col("line").cast("long").alias("line"), cells.alias("cells"))
+    return numbered.select((F.col("at") + 1).cast("long").alias("line"), cells.alias("cells"))
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
@@ -118,4 +117,4 @@ def find_file(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """id, document of whole JSON files, for operators.governance.competition_check."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("id"), F.col("value").alias("document"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("id"), F.col("value").alias("document"))
