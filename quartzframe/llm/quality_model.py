@@ -138,7 +138,7 @@ class Model:
 
     def raw(self, rows: Rows) -> np.ndarray:
         z = ((rows.dense - self.mean) / self.scale) @ self.dense
-        if len(rows.ids):
+        if len(rows.ids) and len(self.sparse) > 1:  # of one value if it was fitted to no words
             z = z + np.bincount(rows.row, self.sparse[rows.ids], minlength=len(z))
         return z
 

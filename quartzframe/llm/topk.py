@@ -19,6 +19,7 @@ row is left out. A query without candidates gives no rows; so does an empty tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,8 @@ BLOCK = 4096
 CHUNK = 256
 #: Gathered lists that are merged in one step.
 FAN_IN = 64
-_NO_ID = -(1 << 63)
+_NO_ID = _LEAST = -(1 << 63)
+_MOST = (1 << 63) - 1
 
 
 def scaled(embedding: Column, scale: int = SCALE) -> Column:
@@ -52,6 +54,16 @@ def _exact(data: np.ndarray) -> np.ndarray:
     return data.astype(np.float64) if most * most * max(1, data.shape[1]) < 1 << 52 else data.astype(object)
 
 
+def _saturated(scores: np.ndarray) -> np.ndarray:
+    """Scores beyond a long count as its limits; only Python integers can be."""
+    return scores if scores.dtype != object else np.minimum(np.maximum(scores, _LEAST), _MOST)
+
+
+def _below(score) -> float:
+    """score as a double that is not above it."""
+    return float(score) if isinstance(score, float) else math.nextafter(float(score), -math.inf)
+
+
 def _blocks(rows: DataFrame, dim: int) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, made, ids, vectors = TaskContext.get().partitionId(), 0, [], []
@@ -129,7 +141,7 @@ def _gather(dim: int, k: int):
                     whole[:, 1:][idx[:, 1:] == idx[:, :-1]] = cell.low
                     whole = -np.sort(-whole, axis=1)[:, :n]
                     where += range(at, at + len(whole))
-                    scores += [[float(x) for x in w if x > cell.low] for w in whole]
+                    scores += [[_below(x) for x in _saturated(w[w > cell.low]).tolist()] for w in whole]
                 yield pd.DataFrame({"q_block": row.q_block, "q_at": cell.q_at[where], "part": row.block % FAN_IN, "scores": scores})
 
     return best
@@ -147,17 +159,18 @@ def _resolve(dim: int, k: int):
                     enough = (parts[0] >= c / PARTS) | (parts[1] >= c / PARTS)
                     qi, vi = np.nonzero(enough)
                     whole = sum(p[qi, vi] for p in parts)
-                    keep = (whole >= c[qi, 0]) & (whole > cell.low)
+                    other = whole > cell.low
+                    qi, vi, whole = qi[other], vi[other], _saturated(whole[other])
+                    keep = whole >= c[qi, 0]
                     qi, vi, whole = qi[keep], vi[keep], whole[keep]
                     ids = cell.ids[vi]
                     order = np.lexsort((ids, ids == _NO_ID, -whole, qi))
                     qi, ids, whole = qi[order], ids[order], whole[order]
                     nth = np.arange(len(qi)) - np.searchsorted(qi, qi)
                     qi, ids, whole = qi[nth < k], ids[nth < k], whole[nth < k]
-                    score = [max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in whole]
                     vec = pd.array(ids, dtype="Int64")
                     vec[ids == _NO_ID] = pd.NA
-                    yield pd.DataFrame({"q_block": row.q_block, "q_at": cell.q_at[at + qi], "query_id": cell.q_ids[at + qi], "vec_id": vec, "score": np.array(score, np.int64)})
+                    yield pd.DataFrame({"q_block": row.q_block, "q_at": cell.q_at[at + qi], "query_id": cell.q_ids[at + qi], "vec_id": vec, "score": np.array(list(map(int, whole)), np.int64)})
 
     return entries
 
