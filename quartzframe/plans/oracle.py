@@ -5,7 +5,7 @@ from __future__ import annotations
 from quartzframe.operators import governance, images
 
 _BOXES = """g AS (
-  SELECT o_orderkey AS gt_id, 'im' || (o_orderkey % 50) AS image_id, (o_orderkey % 3)::INT AS class_id, (o_custkey % 80 * 10)::DOUBLE AS x, (o_orderkey % 70 * 10)::DOUBLE AS y,
+  SELECT o_orderkey AS gt_id, 'im' || (o_orderkey // 30) AS image_id, (o_orderkey % 3)::INT AS class_id, (o_custkey % 80 * 10)::DOUBLE AS x, (o_orderkey % 70 * 10)::DOUBLE AS y,
          (o_custkey % 40 + 10)::DOUBLE AS w, (o_orderkey % 45 + 10)::DOUBLE AS h FROM orders),
 p AS (
   SELECT gt_id AS pred_id, image_id, class_id, ('0x' || substr(md5(gt_id::VARCHAR), 1, 6))::BIGINT / 16777216.0::DOUBLE AS score, x + gt_id % 5 AS x, y + gt_id % 4 AS y, w, h FROM g WHERE gt_id % 7 <> 0)"""

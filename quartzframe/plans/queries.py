@@ -62,7 +62,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     g = o.select(
-        k.alias("gt_id"), F.concat(F.lit("im"), (k % 50).cast("string")).alias("image_id"), (k % 3).cast("int").alias("class_id"), (c % 80 * 10).cast("double").alias("x"), (k % 70 * 10).cast("double").alias("y"),
+        k.alias("gt_id"), F.concat(F.lit("im"), F.floor(k / 30).cast("string")).alias("image_id"), (k % 3).cast("int").alias("class_id"), (c % 80 * 10).cast("double").alias("x"), (k % 70 * 10).cast("double").alias("y"),
         (c % 40 + 10).cast("double").alias("w"), (k % 45 + 10).cast("double").alias("h"), F.lit(1000).alias("width"), F.lit(800).alias("height"),
     )
     score = F.conv(F.substring(F.md5(F.col("gt_id").cast("string")), 1, 6), 16, 10).cast("double") / 16777216.0
