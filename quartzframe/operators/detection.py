@@ -65,7 +65,9 @@ def average_precision(truth: DataFrame, predictions: DataFrame, thresholds=(0.5,
     order = Window.partitionBy("threshold", "class_id").orderBy(F.desc("score"), "pred_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("precision", F.sum("tp").over(upto) / F.count(F.lit(1)).over(upto))
-    rows = rows.withColumn("envelope", F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # a running maximum from the end: a frame up to the end would be computed anew for every row
+    backwards = Window.partitionBy("threshold", "class_id").orderBy("score", F.desc("pred_id")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("envelope", F.max("precision").over(backwards))
     area = rows.groupBy("threshold", "class_id").agg(F.sum(F.when(F.col("tp") == 1, F.col("envelope"))).alias("area"), F.count(F.lit(1)).alias("n_pred"))
     wanted = truth.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt")).select("*", each.alias("threshold"))
     joined = wanted.join(area, ["threshold", "class_id"], "left")
