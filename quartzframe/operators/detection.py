@@ -151,3 +151,20 @@ def summary(boxes: DataFrame, include_empty: DataFrame | None = None) -> DataFra
 
 def class_distribution(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prediction_columns(header: list[str]) -> tuple[str, str]:
+    """The id and the prediction column of a sample submission: the first name with 'predict' in it, else the second
+    column; the id is the first other one."""
+    if len(header) < 2:
+        raise ValueError(f"a sample submission has two columns or more: {header}")
+    prediction = next((c for c in header if "predict" in c.lower()), header[1])
+    return next(c for c in header if c != prediction), prediction
+
+
+def require_labels(labels: DataFrame) -> int:
+    """How many label lines there are; none at all is an error, not an empty training set."""
+    n = labels.agg(F.sum(F.size(F.split("label", "\n")))).first()[0] or 0
+    if not n:
+        raise ValueError("no labels were made")
+    return n

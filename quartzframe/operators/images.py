@@ -208,3 +208,32 @@ def depth_counts(images: DataFrame) -> DataFrame:
     """bit_depth, width, height, n; and whether any image has 16 bits."""
     counts = images.groupBy("bit_depth", "width", "height").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("any_16_bit", F.max(F.col("bit_depth") > 8).over(Window.partitionBy(F.lit(0))))
+
+
+def _encode(batches: Iterator) -> Iterator:
+    import struct
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    def part(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    for batch in batches:
+        made = []
+        for w, h, pixels in zip(batch["width"], batch["height"], batch["pixels"], strict=True):
+            if pixels is None:
+                made.append(None)
+                continue
+            gray = np.asarray(pixels, np.uint8).reshape(int(h), int(w), 1)
+            lines = np.concatenate([np.zeros((int(h), 1), np.uint8), np.repeat(gray, 3, axis=2).reshape(int(h), -1)], axis=1)
+            head = struct.pack(">IIBBBBB", int(w), int(h), 8, 2, 0, 0, 0)
+            made.append(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines.tobytes())) + part(b"IEND", b""))
+        yield pd.DataFrame({"path": batch["path"], "content": made})
+
+
+def encode_png(images: DataFrame) -> DataFrame:
+    """path, content: images (path, width, height, pixels) stretched to 8 bits, as RGB files for training."""
+    rows = images.select("path", "width", "height", stretch(F.col("pixels")).alias("pixels"))
+    return rows.mapInPandas(_by_value(_encode), "path string, content binary")

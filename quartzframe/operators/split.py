@@ -157,3 +157,18 @@ def drop_duplicates(df: DataFrame, key: str, columns: list[str] | None = None) -
 def same_missing(df: DataFrame) -> DataFrame:
     """NaN becomes null in floating-point columns."""
     return df.select(*(F.nanvl(c, F.lit(None).cast(t)).alias(c) if t in ("float", "double") else F.col(c) for c, t in df.dtypes))
+
+
+def with_provenance(df: DataFrame, group: str | None = None, acknowledged: bool = False) -> DataFrame:
+    """df with how its split was made. A split by single items is refused unless its leakage is acknowledged."""
+    if group is None and not acknowledged:
+        raise ValueError("a split by single items may leak near-duplicates; name a group or acknowledge it")
+    return df.withColumn("split_provenance", F.lit(f"grouped by {group}" if group else "per-image, acknowledged"))
+
+
+def named_split(df: DataFrame, name: str) -> DataFrame:
+    """The rows of one split; its name in any case."""
+    rows = df.where(F.lower("split") == name.lower())
+    if rows.isEmpty():
+        raise ValueError(f"no split {name}")
+    return rows

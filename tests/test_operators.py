@@ -305,3 +305,24 @@ def test_stream_of_windows(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r["n"], round(r["psi"], 9)) for r in spark.table("psi").collect()} == {(r["n"], round(r["psi"], 9)) for r in drift_stream.windowed_psi(events, "ts", "v", edges, counts).collect()}
+
+
+def test_png_round_trip(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png([[0, 100], [200, 300]], 16))
+    rows = images.decode_png(readers.read_images(spark, str(tmp_path)))
+    again = images.decode_png(images.encode_png(rows)).first()
+    assert again["bit_depth"] == 8 and [round(p) for p in again["pixels"]] == [0, 84, 170, 255]
+
+
+def test_small_guards(spark):
+    assert detection.prediction_columns(["ID", "PredictionString"]) == ("ID", "PredictionString")
+    assert detection.prediction_columns(["box", "image"]) == ("box", "image")
+    labels = spark.createDataFrame([("a", "1 0 0 0 0\n1 0 0 0 0")], "image_id string, label string")
+    assert detection.require_labels(labels) == 2
+    with pytest.raises(ValueError):
+        detection.require_labels(labels.limit(0))
+    df = spark.createDataFrame([(1, "train")], "id long, split string")
+    with pytest.raises(ValueError):
+        split.with_provenance(df)
+    assert split.with_provenance(df, acknowledged=True).first()["split_provenance"].startswith("per-image")
+    assert split.named_split(df, "Train").count() == 1
