@@ -19,7 +19,8 @@ no rows. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from quartzframe.llm import common
 
-LABELLED = 6000
-POOL = 6000
+LABELLED = 4000
+POOL = 4000
 ROUNDS = 3
 #: Pseudo-labels that a view hands over in a round, as a share of the pool, and how sure it must be.
 HANDED = 0.05
@@ -112,14 +113,18 @@ class Rows:
 
     sparse: list[np.ndarray]
     dense: np.ndarray
-    row: np.ndarray = field(init=False)
-    fine: np.ndarray = field(init=False)
-    ids: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        self.row = np.repeat(np.arange(len(self.sparse)), [len(x) for x in self.sparse])
-        self.fine = np.concatenate([*self.sparse, np.zeros(0, np.int32)]).astype(np.int64)
-        self.ids = self.fine >> (FEATURE_BITS - SPARSE_BITS)
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sparse)), [len(x) for x in self.sparse])
+
+    @cached_property
+    def fine(self) -> np.ndarray:
+        return np.concatenate([*self.sparse, np.zeros(0, np.int32)])
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        return (self.fine >> (FEATURE_BITS - SPARSE_BITS)).astype(np.int64)
 
     def take(self, at: np.ndarray) -> Rows:
         return Rows([self.sparse[i] for i in at], self.dense[at])
