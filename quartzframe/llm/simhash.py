@@ -141,9 +141,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Da
     groups = near_duplicates(docs, shingle, seed)
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows"))
     keep = common.materialize(keep, "kept")
-    names = docs.columns
     rows = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]))
+    own = [docs[c] for c in docs.columns]
     if keep.where("kept_rows > 1").isEmpty():
-        return rows.select(*(docs[c] for c in names))
-    once = rows.where("kept_rows = 1").select(*(docs[c] for c in names))
-    return once.unionByName(rows.where("kept_rows > 1").select(*(docs[c] for c in names)).dropDuplicates(["doc_id"]))
+        return rows.select(*own)
+    once = rows.where(keep["kept_rows"] == 1).select(*own)
+    return once.union(rows.where(keep["kept_rows"] > 1).select(*own).dropDuplicates(["doc_id"]))

@@ -349,7 +349,11 @@ def test_simhash(docs, sample, spark):
         assert Counter(map(tuple, got.collect())) == want
         stay = simhash.one_of_each(df)
         assert stay.columns == df.columns and stay.count() == len({linked[f] for f in fps})
-    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
+    clashing = docs.withColumns({c: F.lit(7) for c in ("kept_rows", "kept_id", "doc", "d", "root", "first", "new_text", "takes", "take", "of", "boilerplate_lines", "n_words", "text_key")})
+    for stage in (simhash.one_of_each, quality_rules.cleaned, pii.replaced, mixing.mixed_documents):
+        out = stage(clashing)
+        assert out.columns == clashing.columns and out.count() > 0 and out.where("d <> 7").count() == 0
 
 
 def test_links_are_complete(spark):
