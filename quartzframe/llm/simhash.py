@@ -57,16 +57,22 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row."""
+def text_key(docs: DataFrame) -> Column:
+    """A hash that only equal texts share; null is a text of its own."""
+    return F.xxhash64(docs["text"], F.length(docs["text"]))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a long) of every row; if keyed, also the text_key."""
+    extra = ["text_key"] if keyed else []
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = [simhash(t.encode(), shingle, seed) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64), **{c: batch[c] for c in extra}})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return common.ship(rows).mapInPandas(hashed, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(text_key(docs).alias(c) for c in extra))
+    return common.ship(rows).mapInPandas(hashed, ", ".join(f"{c} long" for c in ("doc_id", "fp", *extra)))
 
 
 def _mask(*segments: int) -> int:
@@ -121,29 +127,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return known.select(F.col("u").alias("node"), F.col("v").alias("root")) if now[0] else spark.createDataFrame([], "node long, root long")
 
 
+def labels(rows: DataFrame) -> DataFrame:
+    """fp, root (the component's least fp), component_id (its smallest doc_id) and n_links of every fingerprint of rows."""
+    classes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    edges = common.materialize(links(classes.select("fp")), "links")
+    degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+    found = classes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
+    found = found.withColumn("root", F.coalesce("root", "fp"))
+    ids = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    return common.materialize(found.join(ids, "root").select("fp", "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "labels")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) and n_links (of the fingerprint)
     of every row."""
     rows = common.materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    edges = common.materialize(links(classes.select("fp")), "links")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = classes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
-    labels = labels.withColumn("root", F.coalesce("root", "fp"))
-    ids = labels.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = common.materialize(labels.join(ids, "root").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "labels")
-    return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return rows.join(labels(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id. Rows without a doc_id stay only if
-    nothing with one is in their component; of rows that tie, one stays. Texts are shuffled once, without a sort."""
-    groups = near_duplicates(docs, shingle, seed)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows"))
+    nothing with one is in their component; of rows that tie, one stays. A kept row is known by its doc_id and text, as
+    components may share a doc_id or have none. Texts are shuffled once, without a sort."""
+    found = common.materialize(fingerprints(docs, shingle, seed, keyed=True), "fingerprints")
+    least = found.join(labels(found), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = least.groupBy("root", F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count(F.lit(1)).alias("kept_rows"))
+    keep = least.groupBy("root").agg(F.min(F.struct("kept_key", "kept_id", "kept_rows")).alias("kept")).select("kept.*")
     keep = common.materialize(keep, "kept")
-    rows = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]))
+    rows = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]) & (text_key(docs) == keep["kept_key"]))
     own = [docs[c] for c in docs.columns]
     if keep.where("kept_rows > 1").isEmpty():
         return rows.select(*own)
     once = rows.where(keep["kept_rows"] == 1).select(*own)
-    return once.union(rows.where(keep["kept_rows"] > 1).select(*own).dropDuplicates(["doc_id"]))
+    return once.union(rows.where(keep["kept_rows"] > 1).select(*own).dropDuplicates(["doc_id", "text"]))

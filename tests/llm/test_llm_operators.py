@@ -356,6 +356,15 @@ def test_simhash(docs, sample, spark):
         assert out.columns == clashing.columns and out.count() > 0 and out.where("d <> 7").count() == 0
 
 
+def test_one_of_each_without_usable_ids(spark):
+    unlike = [h.prose(600 + i, 60) for i in range(6)]
+    made = [(None, unlike[0]), (None, unlike[1]), (None, unlike[2]), (None, unlike[2]), (7, unlike[3]), (7, unlike[4]), (7, unlike[4]), (8, unlike[5]), (None, unlike[5]), (None, None), (None, "")]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in simhash.one_of_each(df).collect()]
+    assert sorted(r[1] or "" for r in got) == sorted(["", *unlike])
+    assert Counter(r[0] for r in got) == {None: 4, 7: 2, 8: 1} and (8, unlike[5]) in got
+
+
 def test_links_are_complete(spark):
     rng = random.Random(8)
     centers = [rng.getrandbits(64) for _ in range(40)]
