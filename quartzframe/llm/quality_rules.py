@@ -1,9 +1,10 @@
 """Quality rules with cross-document line frequency, in DataFrame expressions only.
 
 Pass 1 hashes every line's normal form (lower case, letters only) and counts, for each host, the documents that have
-it. A document counts by what stands around the line: its smallest other line hash. So copies of one document count
-once for a line, near copies few times, and a line is boilerplate only if the documents around it differ: at least
-``limit`` different surroundings, and at least half as many as documents.
+it. ``cleaned`` counts a host's different texts with the line, so copies of a document count once: from ``limit``
+different ones the line is boilerplate. ``assess`` is bound by its SQL, where a document counts by what stands around
+the line, its smallest other line hash: there a line is boilerplate from ``limit`` different surroundings that are at
+least half as many as documents, which misses lines of templates whose lines are each other's smallest.
 
 Pass 2 takes each text once more, with its host's boilerplate lines, and computes all figures of a row from its own
 text. The boilerplate lines are broadcast while their number is within a checked bound; beyond it they are joined by
@@ -45,14 +46,20 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def boilerplate(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """source, line (key), n_docs and n_around of the lines above the limit."""
+def boilerplate(docs: DataFrame, limit: int = LIMIT, by_text: bool = False) -> DataFrame:
+    """source, line (key), n_docs and n_around (different surroundings or, by_text, different texts) of the lines above
+    the limit."""
     keys = F.array_sort(F.array_distinct(F.filter(F.transform(lines(F.col("text")), line_key), lambda k: k.isNotNull())))
-    rows = docs.select(F.col("source").cast("string").alias("source"), let(keys, lambda k: F.transform(k, lambda x, i: F.struct(x.alias("line"), F.get(k, F.when(i == 0, 1).otherwise(0)).alias("around")))).alias("pairs"))
-    pairs = rows.select("source", F.inline("pairs"))
+    source = F.col("source").cast("string").alias("source")
+    if by_text:
+        pairs = docs.select(source, F.xxhash64("text", F.length("text")).alias("around"), F.explode(keys).alias("line"))
+    else:
+        rows = docs.select(source, let(keys, lambda k: F.transform(k, lambda x, i: F.struct(x.alias("line"), F.get(k, F.when(i == 0, 1).otherwise(0)).alias("around")))).alias("pairs"))
+        pairs = rows.select("source", F.inline("pairs"))
     around = pairs.groupBy("source", "line", "around").agg(F.count(F.lit(1)).alias("n"))
     counts = around.groupBy("source", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_around"))
-    return counts.where((F.col("n_around") >= limit) & (2 * F.col("n_around") >= F.col("n_docs")))
+    enough = F.col("n_around") >= limit
+    return counts.where(enough if by_text else enough & (2 * F.col("n_around") >= F.col("n_docs")))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -78,9 +85,9 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), hashed).cast("long")
 
 
-def with_boilerplate(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def with_boilerplate(docs: DataFrame, limit: int = LIMIT, by_text: bool = False) -> DataFrame:
     """docs and an array of the boilerplate lines that apply to each row, as ``boilerplate_lines``."""
-    found = common.materialize(boilerplate(docs, limit).select("source", "line"), "boilerplate")
+    found = common.materialize(boilerplate(docs, limit, by_text).select("source", "line"), "boilerplate")
     if found.count() <= BROADCAST_LINES:
         by_host = found.groupBy("source").agg(F.collect_list("line").alias("boilerplate_lines")).withColumnRenamed("source", "boilerplate_source")
         joined = docs.join(F.broadcast(by_host), docs["source"].cast("string").eqNullSafe(F.col("boilerplate_source")), "left")
@@ -132,7 +139,7 @@ def cleaned(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The rows of docs that are kept, without their boilerplate lines; n_chars, if there, follows the text."""
     names = docs.columns
     rows = docs.select("text", "source", F.struct(*(docs[c] for c in names)).alias("d"))
-    rows = with_boilerplate(rows, limit)
+    rows = with_boilerplate(rows, limit, by_text=True)
     figures = _figures(F.col("text"), F.col("boilerplate_lines"))
     rows = _verdict(rows.select("d", "boilerplate_lines", *(c.alias(n) for n, c in figures.items()))).where("kept")
     text = F.when(F.col("boilerplate_lines").isNull(), F.col("d.text")).otherwise(F.array_join(_left_lines(F.col("d.text"), F.col("boilerplate_lines")), "\n"))

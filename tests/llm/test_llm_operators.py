@@ -331,6 +331,16 @@ def test_quality_rules(docs, spark, monkeypatch):
     assert quality_rules.assess(df.limit(0)).count() == 0
 
 
+def test_templates_of_several_lines_go(spark):
+    template = [h.prose(900 + i, 8) for i in range(5)]
+    made = [(i, "\n".join([h.prose(i, 30), *template])) for i in range(40)]
+    made += [(100 + i, "\n".join([h.prose(200, 30), *template])) for i in range(90)]
+    made += [(300 + i, "\n".join([h.prose(201, 30), h.prose(202, 30)])) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], h.DOCS)
+    got = {r["doc_id"]: r["text"] for r in quality_rules.cleaned(df).collect()}
+    assert got == {i: t if i >= 300 else t.split("\n")[0] for i, t in made}
+
+
 # 10
 
 
