@@ -25,7 +25,7 @@ KEY = "pseudonym-key-1"
 ROUNDS = 8
 #: What each kind looks like. No alternative starts inside a longer number or word.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
-NAMED_SECRET = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:\s{0,3}[=:]\s{0,3}\"[^\"\s]{6,200}\"|[=:][^\s\"',;]{6,200})"
+NAMED_SECRET = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:\s{0,3}[=:]\s{0,3}\"[^\"\s]{6,}+\"|[=:][^\s\"',;]{6,}+)"
 NAMED_PREFIX = r"^[A-Za-z_-]+\s*[=:]\s*\"?"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
@@ -33,7 +33,12 @@ ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])"
 NUMERIC_DATE = r"(?<![0-9/.])[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}(?![0-9])"
 PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
 LOCAL_PHONE = r"(?<![0-9+(-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9A-Za-z-])[3-6](?:[0-9]{12,18}|[0-9]{3}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{3}([ -])[0-9]{6}\3[0-9]{5})(?![0-9A-Za-z]|-[0-9])"
+#: Issuers 2221 to 2720 have 16 digits. The group numbers are those within ANY.
+TWO_SERIES = "(?:222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)"
+CARD = (
+    r"(?<![0-9A-Za-z-])(?:[3-6](?:[0-9]{12,18}|[0-9]{3}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{3}([ -])[0-9]{6}\3[0-9]{5})"
+    rf"|{TWO_SERIES}(?:[0-9]{{12}}|([ -])[0-9]{{4}}\4[0-9]{{4}}\4[0-9]{{4}}))(?![0-9A-Za-z]|-[0-9])"
+)
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 ANY = "(" + "|".join([EMAIL, NAMED_SECRET, ACCESS_KEY, IP, ISO_DATE, NUMERIC_DATE, PHONE, LOCAL_PHONE, CARD, SSN]) + ")"
 #: A text without any of these characters has nothing to replace.
@@ -75,9 +80,8 @@ def _permute_digits(digits: Column, key: str, tag: str) -> Column:
 def _shift(text: Column, keys: Column, hexadecimal: Column) -> Column:
     """Each character moved within its class by a byte of keys (hex digits)."""
 
-    def one(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        k = F.conv(F.substring(keys, ((i - 1) % 32 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    def one(c: Column, i: Column, digits: Column) -> Column:
+        k = F.conv(F.substring(digits, (i % 32 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
         turn = lambda alphabet: F.substring(F.lit(alphabet), ((F.instr(F.lit(alphabet), c) - 1 + k) % len(alphabet) + 1).cast("int"), F.lit(1))
         return (
             F.when(hexadecimal & c.rlike("[0-9a-f]"), turn("0123456789abcdef"))
@@ -87,12 +91,16 @@ def _shift(text: Column, keys: Column, hexadecimal: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.when(text == "", text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), ""))
+    # an array of characters, as a substring at each place would walk a long text again and again
+    return let(keys, lambda k: F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c, i: one(c, i, k)), ""))
 
 
 def _permute_text(text: Column, key: str, tag: str) -> Column:
     """A keyed permutation of the texts with the same classes of characters at the same places."""
-    hexadecimal = text.rlike("^[0-9a-f]+$")
+    return let(text, lambda t: let(t.rlike("^[0-9a-f]+$"), lambda x: _feistel_text(t, x, key, tag)))
+
+
+def _feistel_text(text: Column, hexadecimal: Column, key: str, tag: str) -> Column:
     half = (F.length(text) / 2).cast("int")
     pair = lambda x, y: F.struct(x.alias("l"), y.alias("r"))
     keys = lambda i, other: F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), F.length(text).cast("string"), i.cast("string"), other), 256)
@@ -179,10 +187,14 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    """The issuer digit stays, the check digit follows."""
+    """The issuer digit stays, issuers 2221 to 2720 stay in their range, the check digit follows."""
     body = lambda d: F.substring(d, F.lit(1), F.length(d) - 1)
     valid = lambda d: _check_digit(body(d)) == F.substring(d, -1, 1)
-    payload = lambda d: F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
+    number = lambda d: (F.substring(d, 1, 4).cast("long") - 2221) * 10**11 + F.substring(d, 5, 11).cast("long")
+    back = lambda v: F.concat((F.floor(v / 10**11) + 2221).cast("string"), F.lpad((v % 10**11).cast("string"), 11, "0"))
+    two_series = lambda d: let(_permute(number(d), F.lit(5 * 10**6), F.lit(10**7), key, "card 2"), back)
+    others = lambda d: F.concat(F.substring(d, 1, 1), _permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
+    payload = lambda d: F.when(d.startswith("2"), two_series(d)).otherwise(others(d))
     new = lambda d: let(payload(d), lambda p: F.concat(p, _check_digit(p)))
     return let(_digits(m), lambda d: F.when(valid(d), let(new(d), lambda n: _refill(m, n))).otherwise(m))
 

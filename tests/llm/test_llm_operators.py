@@ -256,6 +256,24 @@ def test_pseudonyms(spark):
     assert pii.replaced(df).columns == df.columns and pii.pseudonymize(df.limit(0)).count() == 0
 
 
+def test_long_secrets_and_two_series_cards(spark):
+    rng = random.Random(4)
+    long = lambda n: "".join(rng.choice("abcdefgh01234567XYZ") for _ in range(n))
+    luhn = lambda digits: sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+    card = lambda body: next(body + d for d in "0123456789" if luhn(body + d))
+    secrets = [long(300), long(300), long(20_000)]
+    texts = [f"token={secrets[0]} end", f'token: "{secrets[1]}" end', f"token={secrets[2]}"]
+    cards = [card("222100000000000"), card("272099999999999"), card("250012345678901")]
+    spaced = " ".join(cards[2][i : i + 4] for i in range(0, 16, 4))
+    outside = [card("222000000000000"), card("272100000000000")]
+    got = [r for r in pii.pseudonymize(spark.createDataFrame(h.rows([*texts, *cards, spaced, *outside]), h.DOCS)).orderBy("doc_id").collect()]
+    for r, text, secret in zip(got, texts, secrets):  # noqa: B905
+        assert r["n_secret"] == 1 and len(r["text"]) == len(text) and not any(secret[i : i + 20] in r["text"] for i in range(0, len(secret) - 20, 20))
+    made = [re.sub(" ", "", r["text"]) for r in got[3:7]]
+    assert all(luhn(m) and 2221 <= int(m[:4]) <= 2720 and len(m) == 16 for m in made) and made[2] == made[3] != cards[2] and got[6]["text"].count(" ") == 3
+    assert len(set(made)) == 3 and [r["n_card"] for r in got[3:]] == [1, 1, 1, 1, 0, 0] and [r["text"] for r in got[7:]] == outside
+
+
 def test_pseudonyms_are_permutations(spark):
     ips = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("10.0."), (F.col("id") % 60).cast("string"), F.lit("."), F.floor(F.col("id") / 60).cast("string")).alias("text"))
     dates = spark.range(0, 3000).select((F.col("id") + 5000).alias("doc_id"), F.date_format(F.date_from_unix_date((F.col("id") * 7 - 9000).cast("int")), "yyyy-MM-dd").alias("text"))
