@@ -1,24 +1,28 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered through ``threshold`` bytes only, most significant digits first, and a suffix leaves as soon as
-it is alone with its digits. Whole suffix tables do not fit, so the first digit is taken where texts agree to take it:
-
-1. First digit: of every window of ``threshold`` bytes, the least of its 256-byte grams by hash is its anchor. Equal
-   windows have the same anchor, so a window whose anchor's gram is alone in the corpus is alone. Only anchors are
-   sent, about one for 70 bytes, and most leave here.
-2. Second digit: the bytes around the gram, as far as windows of this anchor can reach. Where two anchors agree in
-   these, all windows around both are repeated.
-3. Last digit: where anchors share the gram but not all around, one anchor of each kind sends its windows, all
-   ``threshold`` bytes of each, and equal groups are exactly the repeated windows.
-
-All windows around one anchor overlap in its gram, so an anchor needs only its first and last repeated window, and a
+Suffixes are compared through ``threshold`` bytes only, most significant digits first, and a suffix leaves as soon as
+it is alone with its digits so far; what is left after the last digit in equal groups are exactly the repeated windows.
+A table of all suffixes (an entry a byte) does not fit, so the first digit is taken where texts agree to take it:
+
+1. Gram: of every window of ``threshold`` bytes, the least of its 256-byte grams by hash is its anchor. Equal windows
+   have the same anchor at the same place, so a window whose anchor's gram is alone in the corpus is alone. Only
+   anchors are sent, about one for 70 bytes, and most leave here.
+2. Surroundings: the bytes of all windows of an anchor. Where two anchors agree in these, all windows are repeated.
+3. Core: anchors that share a gram but not all surroundings send, one of each kind, the bytes around the gram. The
+   windows of an anchor lie in groups of CORE neighbours; a core is what all of a group have in common. Cores that are
+   alone leave.
+4. Window: all ``threshold`` bytes of each window that is left.
+
+All windows of one anchor overlap in its gram, so an anchor needs only its first and last repeated window, and a
 document the union of its anchors' intervals. Digits are compared as two independent 64-bit polynomial hashes.
-Grams and surroundings are counted with partial sums and rejoined. A batch settles windows that it repeats itself and
-sends one of them, so a passage in any number of documents makes groups of one row for a batch.
+
+Each pass counts its digits with partial sums and keeps the rows of repeated ones (``_repeated``): digits with more than
+a ten-thousandth of all rows are at most ten thousand, so these alone are broadcast and all others meet in small groups.
+So a passage in any number of documents, or a group of copies of any size, is no task's burden.
 
 Rows: a null text is an empty one; texts below the threshold keep all bytes. Repeated rows are documents each, so they
 repeat each other. Texts are handled whole; a text of one repeated character is linear, too. A null doc_id is kept.
-An empty table gives no rows. Extra columns are ignored.
+An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,12 +40,18 @@ from quartzframe.llm import common
 
 THRESHOLD = 400
 GRAM = 256
-#: Bytes of a table up to which it is broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Neighbouring windows that share a core.
+CORE = 16
+#: Bytes, as they lie in an executor's memory, up to which a table is broadcast; and what a row takes there besides the
+#: elements of its arrays.
+BROADCAST_BYTES = 128 << 20
+ROW_BYTES, ELEMENT_BYTES = 128, 40
+#: A digit is hot with more than this part of all rows.
+HOT = 10_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(m, -1, 1 << 64) for m in _MULTIPLIERS)
-ANCHORS = "doc_id long, text_hash long, at int, left int, size int, gram long, around1 long, around2 long"
-WINDOWS = "w1 long, w2 long, anchor long, first int, last int, known boolean"
+ANCHORS = "doc_id long, text_hash long, at int, low int, high int, gram long, around1 long, around2 long"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -93,8 +103,9 @@ def _rolling(x: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray
     return pick(back[:n], forth[width - 1 : width - 1 + n])
 
 
-def anchors(prefixes: _Prefixes, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, their hashes, and for every window the hash of its anchor."""
+def anchors(prefixes: _Prefixes, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors, their hashes, and how far before it each one's last and first window start. A window's
+    anchor is the first of its grams with the least hash, so the windows of an anchor are neighbours."""
     n, width = len(prefixes.bytes), threshold - gram + 1
     starts = np.arange(n - gram + 1)
     h = prefixes.hashes(starts, starts + gram, 0)
@@ -102,7 +113,13 @@ def anchors(prefixes: _Prefixes, threshold: int, gram: int) -> tuple[np.ndarray,
     around = np.zeros(len(h) + width - 1, np.uint64)
     around[width - 1 : width - 1 + len(least)] = least
     at = np.flatnonzero(_rolling(around, width, np.maximum, 0)[: len(h)] == h)
-    return at, h[at], least
+    place = np.searchsorted(at, starts[: len(least)])
+    while len(wrong := np.flatnonzero(h[at[place]] != least)):
+        place[wrong] += 1
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    own = at[place[first]]
+    last = np.append(first[1:], len(least)) - 1
+    return own, h[own], own - last, own - first
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -115,128 +132,154 @@ def _anchor_rows(threshold: int, gram: int):
         for batch in batches:
             owner, parts = [], []
             for i, data in enumerate(batch["data"]):
-                n = len(data)
-                if n < threshold:
+                if len(data) < threshold:
                     continue
                 prefixes = _Prefixes(data)
-                at, h, _ = anchors(prefixes, threshold, gram)
-                first, last = np.maximum(0, at - (threshold - gram)), np.minimum(n, at + threshold)
-                around = [prefixes.hashes(first, last, k) for k in (0, 1)]
+                at, h, low, high = anchors(prefixes, threshold, gram)
+                around = [prefixes.hashes(at - high, at - low + threshold, k) for k in (0, 1)]
                 owner.append(np.full(len(at), i))
-                parts.append((at, at - first, last - first, h, *around))
+                parts.append((at, low, high, h, *around))
             if owner:
                 owners = np.concatenate(owner)
-                at, left, size, h, a1, a2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at, low, high, h, a1, a2 = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].astype("Int64").array[owners], "text_hash": batch["text_hash"].to_numpy()[owners], "at": at.astype(np.int32), "left": left.astype(np.int32), "size": size.astype(np.int32),
+                    "doc_id": batch["doc_id"].astype("Int64").array[owners], "text_hash": batch["text_hash"].to_numpy()[owners], "at": at.astype(np.int32), "low": low.astype(np.int32), "high": high.astype(np.int32),
                     "gram": h.view(np.int64), "around1": a1.view(np.int64), "around2": a2.view(np.int64),
                 })
 
     return rows
 
 
-def _own_windows(data: bytes, ats: np.ndarray, ids: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Both hashes, anchor and start of the windows whose first anchor is at one of ats."""
-    prefixes = _Prefixes(data)
-    at, h, least = anchors(prefixes, threshold, gram)
-    starts = np.arange(len(least))
-    place = np.searchsorted(at, starts)
-    while len(wrong := np.flatnonzero(h[place] != least)):
-        place[wrong] += 1
-    own, order = at[place], np.argsort(ats)
-    known = ats[order]
-    hit = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    asked = known[hit] == own
-    starts = starts[asked]
-    return prefixes.hashes(starts, starts + threshold, 0), prefixes.hashes(starts, starts + threshold, 1), ids[order][hit[asked]], starts
-
-
-def _window_rows(threshold: int, gram: int):
-    """Windows of a batch, each once. Those that the batch itself repeats are settled here: their anchors' first and last
-    ones are sent as known, and one of them stays for other batches to meet. So a group has a row for a batch at most."""
+def _contexts(threshold: int):
+    """The bytes of all windows of the wanted anchors."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [_own_windows(d, np.asarray(a), np.asarray(i), threshold, gram) for d, a, i in zip(batch["data"], batch["ats"], batch["ids"], strict=True)]
-            if not made:
-                continue
-            w1, w2, anchor, start = (np.concatenate(x) for x in zip(*made, strict=True))
-            order = np.lexsort((w2, w1))
-            w1, w2, anchor, start = w1[order], w2[order], anchor[order], start[order]
-            new = np.ones(len(w1), bool)
-            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-            alone = new & np.append(new[1:], True)
-            settled = pd.DataFrame({"anchor": anchor[~alone], "start": start[~alone]}).groupby("anchor")["start"].agg(["min", "max"])
-            window = pd.DataFrame({"w1": w1[new].view(np.int64), "w2": w2[new].view(np.int64), "anchor": anchor[new], "first": start[new].astype(np.int32), "last": start[new].astype(np.int32), "known": False})
-            yield window
-            yield pd.DataFrame({"w1": settled.index, "w2": -1, "anchor": settled.index, "first": settled["min"].astype(np.int32), "last": settled["max"].astype(np.int32), "known": True})
+            made = [(w["anchor"], w["low"], w["high"], data[w["at"] - w["high"] : w["at"] - w["low"] + threshold]) for data, wanted in zip(batch["data"], batch["wanted"], strict=True) for w in wanted]
+            yield pd.DataFrame(made, columns=["anchor", "low", "high", "context"])
 
     return rows
 
 
+def _digits(batches: Iterator[pd.DataFrame], threshold: int, pick) -> Iterator[pd.DataFrame]:
+    """pick(low, high, groups): the groups or offsets of a context, and first and end byte of each, counted from the
+    place of the anchor."""
+    for batch in batches:
+        owner, number, made = [], [], []
+        for row in batch.itertuples():
+            of, begin, end = pick(row)
+            prefixes = _Prefixes(row.context)
+            made.append([prefixes.hashes(begin + row.high, end + row.high, k).view(np.int64) for k in (0, 1)])
+            owner.append(np.full(len(of), row.anchor))
+            number.append(of)
+        if made:
+            d1, d2 = (np.concatenate(x) for x in zip(*made, strict=True))
+            yield pd.DataFrame({"anchor": np.concatenate(owner), "number": np.concatenate(number).astype(np.int32), "digit1": d1, "digit2": d2})
+
+
+def _cores(threshold: int, core: int):
+    def pick(row):
+        groups = np.arange(row.low // core, row.high // core + 1)
+        return groups, -core * groups, -core * groups - (core - 1) + threshold
+
+    return lambda batches: _digits(batches, threshold, pick)
+
+
+def _windows(threshold: int, core: int):
+    def pick(row):
+        groups = np.asarray(sorted(row.groups))
+        offsets = (groups[:, None] * core + np.arange(core)).ravel()
+        offsets = offsets[(offsets >= row.low) & (offsets <= row.high)]
+        return offsets, -offsets, -offsets + threshold
+
+    return lambda batches: _digits(batches, threshold, pick)
+
+
+def _without(data: bytes, spans) -> tuple[int, int, int, str, str]:
+    """n_bytes, n_removed, n_spans, kept_sha256 and text of one document."""
+    left, at, removed, runs = [], 0, 0, 0
+    for start, end in sorted((s["start"], s["end"]) for s in ([] if spans is None else spans)):
+        if start > at or runs == 0:
+            left.append(data[at:start])
+            runs += 1
+            removed += end - start
+            at = end
+        elif end > at:
+            removed += end - at
+            at = end
+    kept = b"".join([*left, data[at:]])
+    return len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")
+
+
 def _kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
-        for data, spans in zip(batch["data"], batch["spans"], strict=True):
-            digest, at, removed, runs = hashlib.sha256(), 0, 0, 0
-            if spans is not None:
-                for start, end in sorted((s["start"], s["end"]) for s in spans):
-                    if start > at or runs == 0:
-                        digest.update(data[at:start])
-                        runs += 1
-                        removed += end - start
-                        at = end
-                    elif end > at:
-                        removed += end - at
-                        at = end
-            digest.update(data[at:])
-            out.append((len(data), removed, runs, digest.hexdigest()))
-        made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        made.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-        yield made
-
-
-def _small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, marked for broadcast if its rows are known to be few; a table in the shared folder counts its rows cheaply."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+        for at in range(0, len(batch), 500):
+            part = batch.iloc[at : at + 500]
+            made = pd.DataFrame(map(_without, part["data"], part["spans"]), columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+            made.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
+            yield made
+
+
+def _small(df: DataFrame, array: str | None = None) -> DataFrame:
+    """df (a table in the shared folder), marked for broadcast if its rows, and the elements of their arrays, are known
+    to take little memory."""
+    rows, elements = df.agg(F.count(F.lit(1)), F.sum(F.size(array)) if array else F.lit(0)).first()
+    return F.broadcast(df) if rows * ROW_BYTES + (elements or 0) * ELEMENT_BYTES <= BROADCAST_BYTES else df
+
+
+def _counted(df: DataFrame, digits: list[str], *more, name: str) -> DataFrame:
+    return common.materialize(df.groupBy(*digits).agg(F.count(F.lit(1)).alias("n"), *more), name)
+
+
+def _repeated(df: DataFrame, counts: DataFrame, digits: list[str]) -> DataFrame:
+    """The rows of df whose digits occur more than once by counts (digits, n): hot ones by a broadcast of at most HOT
+    digits, whatever the table's size; the others by a join in which no key has more than total / HOT rows."""
+    counts = counts.where("n > 1").select(*digits, "n")
+    total, groups = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if groups * ROW_BYTES <= BROADCAST_BYTES:
+        return df.join(F.broadcast(counts.drop("n")), digits, "left_semi")
+    most = max(1000, total // HOT)
+    hot = F.broadcast(counts.where(F.col("n") > most).drop("n"))
+    cold = df.join(hot, digits, "left_anti").join(counts.where(F.col("n") <= most).drop("n"), digits, "left_semi")
+    return df.join(hot, digits, "left_semi").unionByName(cold)
 
 
 def _same_document(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["of_doc"]) & (left["text_hash"] == right["of_text"])
 
 
-def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, core: int = CORE) -> DataFrame:
     """of_doc, of_text (hash) and spans (array of start, end; they may overlap) of documents with repeated bytes."""
     texts = common.ship(_documents(docs))
     found = common.materialize(texts.mapInPandas(_anchor_rows(threshold, gram), ANCHORS), "anchors")
-    grams = common.materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    alive = common.materialize(found.join(_small(grams, 16), "gram", "left_semi"), "alive")
-    around = ["gram", "left", "around1", "around2"]
-    kinds = alive.groupBy(*around).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "at")).alias("first"))
-    kinds = common.materialize(kinds, "kinds")
+    alive = common.materialize(_repeated(found, _counted(found, ["gram"], name="grams"), ["gram"]), "alive")
     # second digit: equal surroundings
-    shared = kinds.where("n > 1").select(*around)
-    by_around = alive.join(shared, around, "left_semi").select("doc_id", "text_hash", (F.col("at") - F.col("left")).alias("start"), (F.col("at") - F.col("left") + F.col("size")).alias("end"))
-    # last digit: the windows of one anchor of each kind, where a gram has several kinds
-    several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n_kinds")).where("n_kinds > 1").select("gram")
-    edges = kinds.join(several, "gram", "left_semi").select("first.*", "n").withColumn("anchor", F.monotonically_increasing_id())
-    edges = common.materialize(edges, "edges")
-    lists = edges.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).agg(F.collect_list("at").alias("ats"), F.collect_list("anchor").alias("ids"))
-    lists = common.materialize(lists, "edge-lists")
-    with_edges = texts.join(F.broadcast(lists) if edges.count() * 16 <= BROADCAST_BYTES else lists, _same_document(texts, lists))
-    windows = with_edges.select("data", "ats", "ids").mapInPandas(_window_rows(threshold, gram), WINDOWS)
-    met = F.count(F.lit(1)).over(Window.partitionBy("w1", "w2", "known")) > 1
-    repeated = windows.withColumn("repeated", F.col("known") | met).where("repeated")
-    ends = repeated.groupBy("anchor").agg(F.min("first").alias("start"), (F.max("last") + threshold).alias("end"))
-    by_window = edges.where("n = 1").join(ends, "anchor").select("doc_id", "text_hash", "start", "end")
+    around = ["gram", "low", "high", "around1", "around2"]
+    kinds = _counted(alive, around, F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), name="kinds")
+    by_around = _repeated(alive, kinds, around).select("doc_id", "text_hash", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + threshold).alias("end"))
+    # the bytes around one anchor of each kind, where a gram has several kinds
+    edges = _repeated(kinds, _counted(kinds.select("gram"), ["gram"], name="gram-kinds"), ["gram"]).select("first.*", "low", "high", "n")
+    edges = common.materialize(edges.withColumn("anchor", F.monotonically_increasing_id()), "edges")
+    wanted = edges.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).agg(F.collect_list(F.struct("anchor", "at", "low", "high")).alias("wanted"))
+    wanted = common.materialize(wanted, "wanted")
+    with_wanted = texts.join(_small(wanted, "wanted"), _same_document(texts, wanted)).select("data", "wanted")
+    contexts = common.materialize(with_wanted.mapInPandas(_contexts(threshold), "anchor long, low int, high int, context binary").distinct(), "contexts")
+    # third digit: cores
+    digits, columns = ["number", "digit1", "digit2"], "anchor long, number int, digit1 long, digit2 long"
+    cores = common.materialize(contexts.mapInPandas(_cores(threshold, core), columns), "cores")
+    left = _repeated(cores, _counted(cores, digits, name="core-counts"), digits).groupBy("anchor").agg(F.collect_set("number").alias("groups"))
+    # last digit: windows
+    windows = common.materialize(contexts.join(left, "anchor").mapInPandas(_windows(threshold, core), columns), "windows")
+    ends = _repeated(windows, _counted(windows, digits, name="window-counts"), digits).groupBy("anchor").agg(F.min("number").alias("nearest"), F.max("number").alias("farthest"))
+    by_window = edges.where("n = 1").join(ends, "anchor").select("doc_id", "text_hash", (F.col("at") - F.col("farthest")).alias("start"), (F.col("at") - F.col("nearest") + threshold).alias("end"))
     spans = by_around.union(by_window).distinct().groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"))
     return spans.agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left; a character that lost some of its bytes
+    is left out) of every row."""
     texts = common.ship(_documents(docs))
     spans = common.materialize(repeated_spans(docs, threshold, gram), "spans")
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = texts.join(F.broadcast(spans) if (total * 8 + spans.count() * 64) <= BROADCAST_BYTES else spans, _same_document(texts, spans), "left")
-    return joined.select("doc_id", "data", "spans").mapInPandas(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = texts.join(_small(spans, "spans"), _same_document(texts, spans), "left")
+    return joined.select("doc_id", "data", "spans").mapInPandas(_kept_rows, KEPT)

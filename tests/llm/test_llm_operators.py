@@ -293,12 +293,21 @@ def test_suffix_dedup(spark, monkeypatch):
     pairs += [(20 + k, noise() + p[1000 : 1390 + k] + noise()) for k in range(30)]
     df = spark.createDataFrame(pairs, "doc_id long, text string").withColumn("at", F.lit(1))
     for parts in (1, 7):
-        assert sorted(map(tuple, suffix_dedup.remove_repeats(df.repartition(parts)).collect()), key=repr) == h.repeats(pairs, 400)
+        assert sorted(map(tuple, suffix_dedup.remove_repeats(df.repartition(parts)).drop("text").collect()), key=repr) == h.repeats(pairs, 400)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 0)
-    assert sorted(map(tuple, suffix_dedup.remove_repeats(df).collect()), key=repr) == h.repeats(pairs, 400)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df).drop("text").collect()), key=repr) == h.repeats(pairs, 400)
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_very_long_texts(spark):
+    long = h.prose(77, 20_000)
+    pairs = [(1, long), (2, h.prose(78, 50) + long[30_000:90_000] + h.prose(79, 50)), (3, "é" * 4000), (4, h.prose(80, 20_000))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0]["text"] == long[:30_000] + long[90_000:] and got[0]["n_spans"] == 1 and got[0]["n_removed"] == len(long[30_000:90_000].encode())
+    assert got[1]["n_spans"] == 1 and got[1]["text"] == h.prose(78, 50) + h.prose(79, 50)
+    assert got[2]["text"] == "" and got[2]["n_removed"] == 8000 and got[3]["text"] == pairs[3][1] and got[3]["n_spans"] == 0
+
+
 # 8
 
 
