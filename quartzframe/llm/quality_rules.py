@@ -1,17 +1,17 @@
 """Quality rules with cross-document line frequency, in DataFrame expressions only.
 
-Pass 1 hashes every line's normal form (lower case, letters only) and counts, for each host, the documents that have
-it. ``cleaned`` counts a host's different texts with the line, so copies of a document count once: from ``limit``
-different ones the line is boilerplate. ``assess`` is bound by its SQL, where a document counts by what stands around
-the line, its smallest other line hash: there a line is boilerplate from ``limit`` different surroundings that are at
-least half as many as documents, which misses lines of templates whose lines are each other's smallest.
-
-Pass 2 takes each text once more, with its host's boilerplate lines, and computes all figures of a row from its own
-text. The boilerplate lines are broadcast while their number is within a checked bound; beyond it they are joined by
-line and gathered by document.
-
-Rows: a null text has no words and fails; a null host is a host. Every row is a document, also a repeated one. An
-empty table gives no rows. Extra columns are ignored by ``assess`` and kept by ``cleaned``.
+1. Every line's normal form (lower case, letters only) is hashed once, into a table of host, text, place and line.
+2. A host's distinct documents with a line are counted: distinct whole texts, so copies of a document count once. From
+   ``limit`` documents on the line is boilerplate, whatever else stands beside it and however large the host is.
+3. The places of boilerplate lines are gathered for each host and text, and each text is taken once more without them.
+   A document of which too little is left is depleted and rejected.
+
+Counts have partial sums, so a hot host, line or text is one row a task. Boilerplate lines and places are broadcast
+while their size is within a checked bound; beyond it they are joined by line and by text.
+
+Rows: a null text has no words and fails; a null host is a host; a null doc_id is kept. Every row is a document, also a
+repeated one. Texts are handled whole, whatever their length. An empty table gives no rows. Extra columns are ignored
+by ``assess`` and kept by ``cleaned``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,40 +26,41 @@ from quartzframe.llm.common import let
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
-#: Different surroundings in one host from which a line is boilerplate.
+#: Distinct documents of one host from which a line is boilerplate.
 LIMIT = 10
 #: A document is depleted if fewer words, or a smaller share of its words, are left without boilerplate lines.
 LEAST_LEFT = 20
 LEAST_LEFT_SHARE = 0.2
 SYMBOLS = r"[#*$%&|<>]"
-#: Boilerplate lines up to which they are broadcast (16 bytes each and a little more).
-BROADCAST_LINES = 200_000
+#: Boilerplate lines, and places with their texts, up to which they are broadcast (at most about 100 bytes each).
+BROADCAST_LINES = 500_000
 
 
 def line_key(line: Column) -> Column:
-    """16 hex digits for a line's normal form, null if it has no letter."""
+    """A hash of a line's normal form, null if it has no letter."""
     normal = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
-    return F.when(normal != "", F.substring(F.md5(normal), 1, 16))
+    return F.when(normal != "", F.xxhash64(normal))
 
 
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def boilerplate(docs: DataFrame, limit: int = LIMIT, by_text: bool = False) -> DataFrame:
-    """source, line (key), n_docs and n_around (different surroundings or, by_text, different texts) of the lines above
-    the limit."""
-    keys = F.array_sort(F.array_distinct(F.filter(F.transform(lines(F.col("text")), line_key), lambda k: k.isNotNull())))
-    source = F.col("source").cast("string").alias("source")
-    if by_text:
-        pairs = docs.select(source, F.xxhash64("text", F.length("text")).alias("around"), F.explode(keys).alias("line"))
-    else:
-        rows = docs.select(source, let(keys, lambda k: F.transform(k, lambda x, i: F.struct(x.alias("line"), F.get(k, F.when(i == 0, 1).otherwise(0)).alias("around")))).alias("pairs"))
-        pairs = rows.select("source", F.inline("pairs"))
-    around = pairs.groupBy("source", "line", "around").agg(F.count(F.lit(1)).alias("n"))
-    counts = around.groupBy("source", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_around"))
-    enough = F.col("n_around") >= limit
-    return counts.where(enough if by_text else enough & (2 * F.col("n_around") >= F.col("n_docs")))
+def _text_key(text: Column) -> Column:
+    """What only equal texts share."""
+    return F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("length"))
+
+
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """source, text_key, place (from 0) and line (key) of every line with a letter."""
+    keys = F.filter(F.transform(lines(F.col("text")), lambda x, i: F.struct(i.alias("place"), line_key(x).alias("line"))), lambda k: k["line"].isNotNull())
+    return docs.select(F.col("source").cast("string").alias("source"), _text_key(F.col("text")).alias("text_key"), F.inline(keys))
+
+
+def boilerplate(keyed: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """source, line and n_docs (distinct texts) of the lines at or above the limit; keyed: as keyed_lines gives them."""
+    once = keyed.groupBy("source", "line", "text_key").agg(F.lit(1).alias("one"))
+    return once.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= limit)
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -85,64 +86,66 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), hashed).cast("long")
 
 
-def with_boilerplate(docs: DataFrame, limit: int = LIMIT, by_text: bool = False) -> DataFrame:
-    """docs and an array of the boilerplate lines that apply to each row, as ``boilerplate_lines``."""
-    found = common.materialize(boilerplate(docs, limit, by_text).select("source", "line"), "boilerplate")
-    if found.count() <= BROADCAST_LINES:
-        by_host = found.groupBy("source").agg(F.collect_list("line").alias("boilerplate_lines")).withColumnRenamed("source", "boilerplate_source")
-        joined = docs.join(F.broadcast(by_host), docs["source"].cast("string").eqNullSafe(F.col("boilerplate_source")), "left")
-        return joined.drop("boilerplate_source")
-    text_key = F.xxhash64("text", F.length("text"))
-    own = docs.select(F.col("source").cast("string").alias("source"), text_key.alias("text_key"), F.explode(F.array_distinct(F.transform(lines(F.col("text")), line_key))).alias("line")).distinct()
-    found = found.withColumnRenamed("source", "of")
-    hits = own.join(found, own["source"].eqNullSafe(found["of"]) & (own["line"] == found["line"]))
-    hits = hits.groupBy(own["source"].alias("boilerplate_source"), "text_key").agg(F.collect_list(own["line"]).alias("boilerplate_lines"))
-    joined = docs.join(hits, docs["source"].cast("string").eqNullSafe(F.col("boilerplate_source")) & (text_key == F.col("text_key")), "left")
-    return joined.drop("boilerplate_source", "text_key")
+def with_boilerplate(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """docs (text, source and others) and the places of its boilerplate lines as ``boilerplate_places``, null if it has none."""
+    keyed = common.materialize(keyed_lines(docs), "lines")
+    found = common.materialize(boilerplate(keyed, limit).select(F.col("source").alias("of"), F.col("line").alias("found")), "boilerplate")
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_LINES else df
+    hits = keyed.join(small(found, found.count()), keyed["source"].eqNullSafe(F.col("of")) & (keyed["line"] == F.col("found")), "left_semi")
+    places = hits.groupBy("source", "text_key").agg(F.collect_set("place").alias("boilerplate_places"))
+    places = common.materialize(places.select(F.col("source").alias("boilerplate_source"), "text_key.*", "boilerplate_places"), "places")
+    size = places.agg(F.sum(F.size("boilerplate_places") + 4)).first()[0] or 0
+    key = _text_key(docs["text"])
+    same = docs["source"].cast("string").eqNullSafe(F.col("boilerplate_source")) & (key["hash"] == places["hash"]) & (key["length"] == places["length"])
+    return docs.join(small(places, size), same, "left").drop("boilerplate_source", places["hash"], places["length"])
 
 
-def _left_lines(text: Column, drop: Column) -> Column:
-    return F.filter(lines(text), lambda line: ~F.coalesce(F.array_contains(drop, line_key(line)), F.lit(False)))
+def _left_lines(text: Column, places: Column) -> Column:
+    """The lines of text without those at places."""
+    return let(lines(text), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), places), lambda i: F.get(x, i)))
 
 
-def _figures(text: Column, drop: Column) -> dict[str, Column]:
-    """The figures of one row; drop: its boilerplate lines, or null."""
+def _figures(text: Column, places: Column) -> Column:
+    """The figures of one row as a struct; places: of its boilerplate lines, or null."""
     text = F.coalesce(text, F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(common.WORD), F.lit(0))
     filled = F.filter(lines(text), lambda line: line.rlike(common.WORD))
-    count = lambda t: F.regexp_count(t, F.lit(common.WORD)).cast("long")
-    left = count(F.array_join(_left_lines(text, drop), "\n"))
-    return {
-        "n_words": count(text),
-        "word_chars": F.length(F.regexp_replace(text, f"{common.SPACE}+", "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words),
-        "n_left_words": F.when(drop.isNull(), count(text)).otherwise(left),
-    }
+    left = F.regexp_count(F.array_join(_left_lines(text, places), "\n"), F.lit(common.WORD)).cast("long")
+
+    def of(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        return F.struct(
+            n.alias("n_words"),
+            F.length(F.regexp_replace(text, f"{common.SPACE}+", "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+            F.when(places.isNull(), n).otherwise(left).alias("n_left_words"),
+        )
+
+    return let(F.regexp_extract_all(text, F.lit(common.WORD), F.lit(0)), of)
 
 
 def _verdict(df: DataFrame) -> DataFrame:
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    depleted = (F.col("n_left_words") < LEAST_LEFT) | (F.col("n_left_words") < LEAST_LEFT_SHARE * F.col("n_words"))
+    """df: a struct of figures, named figures, and others. Adds base_failed and kept."""
+    f = lambda c: F.col(f"figures.{c}")
+    failed = (f("n_words") < LEAST_WORDS) | (100 * f("n_repeat_words") > MOST_REPEATED * f("n_words"))
+    depleted = (f("n_left_words") < LEAST_LEFT) | (f("n_left_words") < LEAST_LEFT_SHARE * f("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def assess(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_left_words, base_failed and kept of every row."""
     rows = with_boilerplate(docs.select("doc_id", "source", "text"), limit)
-    figures = _figures(F.col("text"), F.col("boilerplate_lines"))
-    return _verdict(rows.select("doc_id", *(c.alias(n) for n, c in figures.items())))
+    return _verdict(rows.select("doc_id", _figures(F.col("text"), F.col("boilerplate_places")).alias("figures"))).select("doc_id", "figures.*", "base_failed", "kept")
 
 
 def cleaned(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The rows of docs that are kept, without their boilerplate lines; n_chars, if there, follows the text."""
     names = docs.columns
     rows = docs.select("text", "source", F.struct(*(docs[c] for c in names)).alias("d"))
-    rows = with_boilerplate(rows, limit, by_text=True)
-    figures = _figures(F.col("text"), F.col("boilerplate_lines"))
-    rows = _verdict(rows.select("d", "boilerplate_lines", *(c.alias(n) for n, c in figures.items()))).where("kept")
-    text = F.when(F.col("boilerplate_lines").isNull(), F.col("d.text")).otherwise(F.array_join(_left_lines(F.col("d.text"), F.col("boilerplate_lines")), "\n"))
+    rows = with_boilerplate(rows, limit)
+    rows = _verdict(rows.select("d", "boilerplate_places", _figures(F.col("text"), F.col("boilerplate_places")).alias("figures"))).where("kept")
+    text = F.when(F.col("boilerplate_places").isNull(), F.col("d.text")).otherwise(F.array_join(_left_lines(F.col("d.text"), F.col("boilerplate_places")), "\n"))
     rows = rows.select("d", text.alias("new_text"))
     chars = lambda c: F.when(F.col("new_text") == F.col("d.text"), F.col("d.n_chars")).otherwise(F.length("new_text")).cast(docs.schema[c].dataType)
     made = {"text": lambda c: F.col("new_text"), "n_chars": chars}

@@ -150,17 +150,11 @@ line AS (
   SELECT rid, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          trim(regexp_replace(lower(line), '[^\p{L}]+', ' ', 'g')) AS normal
   FROM (SELECT rid, source, unnest(lines) AS line FROM split)),
-keyed AS (SELECT DISTINCT rid, source, substr(md5(normal), 1, 16) AS key FROM line WHERE normal <> ''),
-pair AS (
-  SELECT source, key, CASE WHEN key = least_key THEN second_key ELSE least_key END AS around FROM (
-    SELECT *, first_value(key) OVER w AS least_key, nth_value(key, 2) OVER w AS second_key FROM keyed
-    WINDOW w AS (PARTITION BY rid ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))),
 boiler AS (
-  SELECT source, key FROM pair GROUP BY source, key
-  HAVING count(DISTINCT coalesce(around, '')) >= 10 AND 2 * count(DISTINCT coalesce(around, '')) >= count(*)),
+  SELECT source, normal FROM (SELECT DISTINCT l.source, normal, text FROM line l JOIN docs USING (rid)) WHERE normal <> ''
+  GROUP BY source, normal HAVING count(*) >= 10),
 removed AS (
-  SELECT rid, sum(n) AS n FROM line l JOIN boiler b
-    ON l.source IS NOT DISTINCT FROM b.source AND normal <> '' AND substr(md5(normal), 1, 16) = b.key
+  SELECT rid, sum(n) AS n FROM line l JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.normal = b.normal
   GROUP BY rid),
 win AS (
   SELECT rid, i, list_slice(words, i, i + 7) AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM split WHERE len(words) > 8)),

@@ -368,6 +368,21 @@ def test_templates_of_several_lines_go(spark):
     assert got == {i: t if i >= 300 else t.split("\n")[0] for i, t in made}
 
 
+def test_boilerplate_goes_whatever_stands_beside_it(spark):
+    """1 to 8 common lines beside 1 to 5 own ones, in hosts of 40 documents each; then a table without rows, a very long text and no host."""
+    made = []
+    for common_lines in range(1, 9):
+        for own in (1, 2, 5):
+            template = [h.prose(5000 + 10 * common_lines + k, 4) for k in range(common_lines)]
+            for i in range(40):
+                made.append((len(made), "\n".join([*(h.prose(10_000 * common_lines + 1000 * own + 10 * i + k, 25) for k in range(own)), *template]), f"h{common_lines}-{own}", common_lines, own))
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s, _, _ in made] + [(-1, "\n".join(["a word"] * 20_000 + [h.prose(i, 20) for i in range(2000)]), None, None, None)], h.DOCS)
+    got = {r["doc_id"]: r for r in quality_rules.assess(df).collect()}
+    assert all(got[i]["n_left_words"] == 25 * own and got[i]["n_words"] == 25 * own + 4 * n for i, _, _, n, own in made)
+    assert got[-1]["n_words"] == got[-1]["n_left_words"] == 80_000 and got[-1]["n_dup_lines"] == 19_999
+    assert quality_rules.cleaned(df.limit(0)).count() == 0
+
+
 # 10
 
 
