@@ -15,6 +15,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's quartzframe.pii.key. Without one, a key that everybody knows: enough for synthetic tables only."""
+    return spark.conf.get("quartzframe.pii.key", None) or "published-demonstration-key"
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,7 +41,7 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(common.read(spark, sf_dir, "documents"))
+    return pii.pseudonymize(common.read(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

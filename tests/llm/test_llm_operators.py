@@ -230,7 +230,7 @@ def test_pseudonyms(spark):
     kept = ["4041894974608796", "999.1.1.1", "2021-02-30", "000-12-1234", "Version 2.0 of 2004.", "a@b", "1.2.3", "9999-12-31", "", "12 apples at 10:45", "x = y", "1234567890123"]
     texts = [f"see {v}, and {v}." for v in values] + [f"also {v}" for v in values] + kept + [None, 'password=b7db7aa4a5fcc78305 token = "0a9b8c7d6e5f"', "é" * 2000 + " a.b@c.example " + "ü" * 2000]
     df = spark.createDataFrame(h.rows(texts), h.DOCS).withColumn("kinds", F.lit(1))
-    got = [r for r in pii.pseudonymize(df).orderBy("doc_id").collect()]
+    got = [r for r in pii.pseudonymize(df, "k").orderBy("doc_id").collect()]
     n = len(values)
     for i, v in enumerate(values):
         a, b = re.fullmatch(r"see (.*), and (.*)\.", got[i]["text"]).groups()
@@ -253,7 +253,7 @@ def test_pseudonyms(spark):
     assert got[-1]["n_email"] == 1 and len(got[-1]["text"]) == len(texts[-1])
     again = pii.pseudonymize(df, key="another").orderBy("doc_id").first()["text"]
     assert again != got[0]["text"]
-    assert pii.replaced(df).columns == df.columns and pii.pseudonymize(df.limit(0)).count() == 0
+    assert pii.replaced(df, "k").columns == df.columns and pii.pseudonymize(df.limit(0), "k").count() == 0
 
 
 def test_long_secrets_and_two_series_cards(spark):
@@ -266,7 +266,7 @@ def test_long_secrets_and_two_series_cards(spark):
     cards = [card("222100000000000"), card("272099999999999"), card("250012345678901")]
     spaced = " ".join(cards[2][i : i + 4] for i in range(0, 16, 4))
     outside = [card("222000000000000"), card("272100000000000")]
-    got = [r for r in pii.pseudonymize(spark.createDataFrame(h.rows([*texts, *cards, spaced, *outside]), h.DOCS)).orderBy("doc_id").collect()]
+    got = [r for r in pii.pseudonymize(spark.createDataFrame(h.rows([*texts, *cards, spaced, *outside]), h.DOCS), "k").orderBy("doc_id").collect()]
     for r, text, secret in zip(got, texts, secrets):  # noqa: B905
         assert r["n_secret"] == 1 and len(r["text"]) == len(text) and not any(secret[i : i + 20] in r["text"] for i in range(0, len(secret) - 20, 20))
     made = [re.sub(" ", "", r["text"]) for r in got[3:7]]
@@ -274,11 +274,52 @@ def test_long_secrets_and_two_series_cards(spark):
     assert len(set(made)) == 3 and [r["n_card"] for r in got[3:]] == [1, 1, 1, 1, 0, 0] and [r["text"] for r in got[7:]] == outside
 
 
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    plain = h.Feistel("k")
+    rng = random.Random(14)
+    values = [("ip", f"{rng.randrange(256)}.{rng.randrange(256)}.0.{rng.randrange(256)}") for _ in range(20)]
+    values += [("ssn", f"{rng.choice([1, 665, 667, 899, 123]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}") for _ in range(20)]
+    for length in (13, 15, 16, 18, 19):
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(length - 2))
+        values.append(("card", next(body + d for d in "0123456789" if h.luhn(body + d))))
+    values += [("email", f"{h.prose(i, 1)}.{i}@mail{i}.example.com".replace("é", "e").replace("ñ", "n")) for i in range(10)]
+    values += [("iban", v) for v in ("DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NL91ABNA0417164300")]
+    df = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(df, "k").collect()}
+    for i, (kind, value) in enumerate(values):
+        assert (got[i]["text"], got[i][f"n_{kind}"]) == (getattr(plain, kind)(value), 1), value
+    for kind in ("secret",):
+        secrets = ["abcdef0123", "ghi0123zZ", "0" * 100, *("".join(rng.choice("0123456789abcdefGHIxyz-_") for _ in range(n)) for n in (7, 33, 64, 65, 5000))]
+        found = pii.pseudonymize(spark.createDataFrame([(i, f"api_key={x} .") for i, x in enumerate(secrets)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+        assert [r["text"] for r in found] == [f"api_key={plain.text(x, kind)} ." for x in secrets]
+        assert not re.search(r"(.{8}).*\1", found[-1]["text"]) and not re.search("(.{32})\\1", found[2]["text"])
+
+
+def test_more_kinds_of_personal_data(spark):
+    token = "A1b2C3d4E5f6G7h8J9k0L1m2N3p4Q5r6S7t8"
+    taken = {
+        "secret": [f"Authorization: Bearer {token}", f"ghp_{token}", f"xoxb-{token}", f"sk-{token}", f"eyJhbGciOiJ.{token}.{token}", f"glpat-{token}"],
+        "ip": ["2001:db8:0:0:8:800:200c:417a", "fe80::1ff:fe23:4567:890a", "2001:DB8::1"], "iban": ["DE89 3704 0044 0532 0130 00"],
+    }
+    kept = ["at 10:45:30 or 1:2", "std::vector and a::b", "bearer of bad news from everywhere", "DE12 3704 0044 0532 0130 00", "sk-learn and xoxb", "The ABCD12 of 1999", "ratio 1:2:3"]
+    pairs = [(kind, t) for kind, texts in taken.items() for t in texts]
+    df = spark.createDataFrame([(i, f"see {t}, and") for i, (_, t) in enumerate(pairs)] + [(100 + i, t) for i, t in enumerate(kept)] + [(None, "a@b.example"), (None, "a@b.example")], "doc_id long, text string")
+    rows = pii.pseudonymize(df, "k").collect()
+    got = {r["doc_id"]: r for r in rows}
+    for i, (kind, t) in enumerate(pairs):
+        assert got[i][f"n_{kind}"] == got[i]["n_pii"] == 1 and t not in got[i]["text"] and len(got[i]["text"]) == len(t) + 9, t
+        assert token not in got[i]["text"]
+    assert all(got[100 + i]["text"] == t for i, t in enumerate(kept))
+    assert len({r["text"] for r in rows if r["doc_id"] is None}) == 1 and pii.replaced(df.limit(0), "k").count() == 0
+    account = got[len(pairs) - 1]["text"][4:31].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
 def test_pseudonyms_are_permutations(spark):
     ips = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("10.0."), (F.col("id") % 60).cast("string"), F.lit("."), F.floor(F.col("id") / 60).cast("string")).alias("text"))
     dates = spark.range(0, 3000).select((F.col("id") + 5000).alias("doc_id"), F.date_format(F.date_from_unix_date((F.col("id") * 7 - 9000).cast("int")), "yyyy-MM-dd").alias("text"))
     for df in (ips, dates):
-        got = pii.pseudonymize(df)
+        got = pii.pseudonymize(df, "k")
         assert got.select("text").distinct().count() == 3000 and got.where("n_pii <> 1").count() <= 1
 
 
@@ -403,7 +444,7 @@ def test_simhash(docs, sample, spark):
         assert stay.columns == df.columns and stay.count() == len({linked[f] for f in fps})
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
     clashing = docs.withColumns({c: F.lit(7) for c in ("kept_rows", "kept_id", "doc", "d", "root", "first", "new_text", "takes", "take", "of", "boilerplate_lines", "n_words", "text_key")})
-    for stage in (simhash.one_of_each, quality_rules.cleaned, pii.replaced, mixing.mixed_documents):
+    for stage in (simhash.one_of_each, quality_rules.cleaned, lambda d: pii.replaced(d, "k"), mixing.mixed_documents):
         out = stage(clashing)
         assert out.columns == clashing.columns and out.count() > 0 and out.where("d <> 7").count() == 0
 
