@@ -49,6 +49,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def text_key(text: Column) -> Column:
+    """What only equal texts share: a hash and the length; a null text is a text of its own."""
+    return F.struct(F.xxhash64(text).alias("hash"), F.coalesce(F.length(text), F.lit(-1)).alias("length"))
+
+
 def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 

@@ -46,15 +46,10 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _text_key(text: Column) -> Column:
-    """What only equal texts share."""
-    return F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("length"))
-
-
 def keyed_lines(docs: DataFrame) -> DataFrame:
     """source, text_key, place (from 0) and line (key) of every line with a letter."""
     keys = F.filter(F.transform(lines(F.col("text")), lambda x, i: F.struct(i.alias("place"), line_key(x).alias("line"))), lambda k: k["line"].isNotNull())
-    return docs.select(F.col("source").cast("string").alias("source"), _text_key(F.col("text")).alias("text_key"), F.inline(keys))
+    return docs.select(F.col("source").cast("string").alias("source"), common.text_key(F.col("text")).alias("text_key"), F.inline(keys))
 
 
 def boilerplate(keyed: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -93,11 +88,10 @@ def with_boilerplate(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     small = lambda df, n: F.broadcast(df) if n <= BROADCAST_LINES else df
     hits = keyed.join(small(found, found.count()), keyed["source"].eqNullSafe(F.col("of")) & (keyed["line"] == F.col("found")), "left_semi")
     places = hits.groupBy("source", "text_key").agg(F.collect_set("place").alias("boilerplate_places"))
-    places = common.materialize(places.select(F.col("source").alias("boilerplate_source"), "text_key.*", "boilerplate_places"), "places")
+    places = common.materialize(places.select(F.col("source").alias("boilerplate_source"), F.col("text_key").alias("boilerplate_key"), "boilerplate_places"), "places")
     size = places.agg(F.sum(F.size("boilerplate_places") + 4)).first()[0] or 0
-    key = _text_key(docs["text"])
-    same = docs["source"].cast("string").eqNullSafe(F.col("boilerplate_source")) & (key["hash"] == places["hash"]) & (key["length"] == places["length"])
-    return docs.join(small(places, size), same, "left").drop("boilerplate_source", places["hash"], places["length"])
+    same = docs["source"].cast("string").eqNullSafe(F.col("boilerplate_source")) & (common.text_key(docs["text"]) == F.col("boilerplate_key"))
+    return docs.join(small(places, size), same, "left").drop("boilerplate_source", "boilerplate_key")
 
 
 def _left_lines(text: Column, places: Column) -> Column:

@@ -88,23 +88,26 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
 
 def _op3_sql() -> str:
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+    rows = license_scan.rules()
+    texts = ", ".join(f"({i}, '{r['label']}', {r['need']}, {r['span']}, {r['tokens']}, {r['telling']}::VARCHAR[])" for i, r in enumerate(rows))
     return rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-words AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
+words AS (SELECT rid, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
 phrase(p, label) AS (VALUES {phrases}),
 place AS (
   SELECT rid, label, i - 1 AS place_no FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM words), phrase
   WHERE w[i] = string_split(p, ' ')[1] AND list_slice(w, i, i + len(string_split(p, ' ')) - 1) = string_split(p, ' ')),
 based AS (
   SELECT rid, count(*) AS n_base, min(place_no) AS first_word, max(place_no) AS last_word, list(DISTINCT label) AS found FROM place GROUP BY rid),
-template(id, label, t) AS (VALUES {templates}),
-block AS (SELECT rid, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs)),
+template(id, label, need, span, t, telling) AS (VALUES {texts}),
+near AS (SELECT rid, w, template.* FROM words, template WHERE len(list_intersect(w, t)) >= need),
+place_of AS (SELECT * FROM (SELECT rid, id, t, span, unnest(w) AS word, unnest(range(len(w))) AS pos FROM near) WHERE list_contains(t, word)),
 hit AS (
-  SELECT rid, label, len(list_intersect(w, t)) / len(list_distinct(t)) AS containment FROM block, template
-  WHERE len(list_intersect(w, t)) >= ceil({license_scan.THRESHOLD} * len(list_distinct(t)))),
-matched AS (SELECT rid, list(DISTINCT label) AS found, max(containment) AS containment FROM hit GROUP BY rid)
+  SELECT rid, id, list_distinct(list(word) OVER (PARTITION BY rid, id ORDER BY pos RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING)) AS held FROM place_of),
+matched AS (
+  SELECT rid, list(DISTINCT label) AS found, max(len(held) / len(t)) AS containment FROM hit JOIN template USING (id)
+  WHERE len(held) >= need AND list_has_all(held, telling) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        array_to_string(list_sort(coalesce(b.found, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(m.found, [])))), ',') AS labels,

@@ -124,9 +124,16 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
 
 
 def test_license_scan(spark):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "lgpl": "Licensed under the GNU Lesser\nGeneral Public License", "agpl": "* Licensed under the\n * GNU Affero General\n * Public License",
+        "apache": "you may not use this file except in compliance with the License.\nLicensed under the Apache License, Version 2.0 (the \"License\");\nYou may obtain a copy of the License at\n\n http://",
+    }
     texts = [
         None, "", "MIT license apache-License CC BY cc by", "the gnu General\npublic license, and more", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "all rights reserved", "aMIT License mit licenses éMIT license",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following terms are met", "licensed under cc by", "KK mité license", "word " * 3000 + "apache license " + "word " * 10,
+        *notices.values(), "the of to and " * 5000 + notices["mit"] + " the of to and" * 5000, "Licensed under the GNU General Public License.", "Licensed under CC BY-NC 4.0",
     ]
     df = spark.createDataFrame(h.rows(texts) + [(2, texts[2], "en", "s", 0)], h.DOCS).withColumn("labels", F.lit("x"))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -135,19 +142,24 @@ def test_license_scan(spark):
         words = word.findall(h.lower(text or ""))
         places = [(at, label) for p, label in license_scan.PHRASES.items() for at in range(len(words)) if words[at : at + len(p.split())] == p.split()]
         extra, best = set(), 0.0
-        for block in (text or "").split("\n"):
-            tokens = set(word.findall(h.lower(block)))
-            for label, template in license_scan.TEMPLATES:
-                t = set(template.split())
-                if len(tokens & t) >= -(-len(t) * 8 // 10):
+        sets = [(label, set(t.split()), -(-len(t.split()) * 5 // 4)) for label, t in license_scan.TEMPLATES]
+        for label, t, span in sets:
+            need = -(-len(t) * 8 // 10)
+            telling = {x for other, u, _ in sets if other != label and len(t & u) >= need for x in t - u}
+            for at in range(len(words)):
+                held = t.intersection(words[at : at + span])
+                if len(held) >= need and telling <= held:
                     extra.add(label)
-                    best = max(best, len(tokens & t) / len(t))
+                    best = max(best, len(held) / len(t))
         at = [a for a, _ in places]
         base = {x for _, x in places}
         return (i, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | extra)), 1.0 if at else best)
 
     assert sorted(map(tuple, license_scan.scan(df).collect()), key=repr) == sorted((plain(r["doc_id"], r["text"]) for r in df.collect()), key=repr)
     assert license_scan.scan(df.limit(0)).count() == 0
+    found = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    at = texts.index(notices["mit"])
+    assert [found[at + i]["labels"] for i in range(5)] == list(notices) and found[at + 5]["labels"] == "mit" and found[at + 6]["labels"] == "gpl" and found[at + 7]["labels"] == "cc-by,cc-by-nc"
 
 
 # 4
