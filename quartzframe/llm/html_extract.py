@@ -1,18 +1,24 @@
 """Main text of web pages with removal of site templates.
 
-1. Each page is parsed once into a tree. Every element's subtree is hashed (tags and text), except inside parts that
-   are no content by their tag, role or class anyway.
-2. Spark counts, for each host, the pages that hold a subtree. Copies of one article count once: a page counts by the
-   hash of its main part. A subtree is the host's template if it recurs on at least ``least_pages`` different pages and
-   on a given share of the host's pages; inside an article that share is larger, so that a recurring sentence stays.
+1. Each page is parsed once into a tree, and every element's subtree is hashed (tags and text).
+2. Spark counts, for each host, the different pages that hold a subtree; copies of one article count once, as a page
+   counts by the hash of its main part. A subtree on ``least_pages`` different pages of a host is its template. Inside
+   an article it takes ``article_pages``, and paragraphs and headings stay however often they recur, as near copies of
+   an article share them: there containers go (boxes, lists, tables), and parts that are named like templates.
+   Both limits are absolute, so a host's growth brings no template back.
 3. Each page is parsed again without such subtrees. Text blocks are joined by one space, in page order.
 
-The template hashes are broadcast while they are within a checked bound; beyond it they are joined by (host, page).
-Counting has partial sums, so a host with a third of all pages, all with one menu, is one row a task.
+Names decide alone where counts cannot: parts that no article has by their tag or role, and parts whose class or id
+says nothing but adverts, comments, menus and the like. Names that may mean content, too ("related", "notice"), decide
+only on hosts with fewer than ``least_pages`` different pages, and only for boxes.
+
+Which elements of a page go is gathered by host and page. That list is broadcast while it is within a checked bound;
+beyond it pages are joined by their key. Counting has partial sums, so a host with a third of all pages, all with one
+menu, is one row a task.
 
 Rows: a null html is an empty page with empty text. A null url is a host of its own. Repeated rows give a row each. A
 null page_id is kept. Pages are parsed whole, whatever their nesting. An empty table gives no rows. Extra columns are
-ignored.
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +35,10 @@ from pyspark.sql import functions as F
 
 from quartzframe.llm import common
 
-LEAST_PAGES = 5
-SHARE = 0.1
-ARTICLE_SHARE = 0.5
-#: Template hashes (16 bytes each with their host) up to which they are broadcast.
-BROADCAST_HASHES = 2_000_000
+LEAST_PAGES = 10
+ARTICLE_PAGES = 20
+#: Elements to remove, with their pages, up to which they are broadcast (at most about 100 bytes each).
+BROADCAST_PLACES = 500_000
 #: Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -45,47 +50,66 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPES = frozenset("ul ol dl table select html body article section div main td th".split())
 #: Words of class, id or role names that mark parts which are not the article.
 NOISE = frozenset(
-    "ad ads adv advert advertisement advertising adsbygoogle banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar topbar toolbar breadcrumb breadcrumbs"
-    " sidebar aside rail widget widgets footer foot masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog"
-    " comment comments disqus respond replies reply share sharing social follow newsletter subscribe subscription signup login search related recommended recommendations"
-    " pagination pager skip contentinfo complementary copyright disclaimer".split()
+    "ad ads adv advert advertisement advertising adsbygoogle sponsor sponsored nav navbar navigation menu menubar topbar breadcrumb breadcrumbs sidebar masthead footer"
+    " cookie cookies consent gdpr popup modal overlay comment comments disqus replies sharing share social newsletter subscription pagination pager contentinfo complementary".split()
+)
+#: Words that mark such parts, or parts of an article.
+PERHAPS = frozenset(
+    "banner promo promotion notice notices notification alert dialog widget widgets rail toolbar respond reply follow subscribe signup login search related recommended recommendations"
+    " skip copyright disclaimer aside foot".split()
+)
+#: Words that say nothing beside them, as in "footer-links" but not in "market-share".
+BESIDE = frozenset(
+    "area bar block body box button buttons bottom col column container content fixed form global group heading icon icons image inner item items js left lg link links list main md"
+    " outer page panel post posts primary right row secondary section site sm slot sticky text title top unit wrap wrapper xl zone".split()
 )
+#: Roles of parts that are not the article.
+LANDMARKS = frozenset("navigation contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Inside articles, elements that are removed if they recur.
+CONTAINERS = frozenset("div section ul ol dl table figure center details".split())
 #: Elements that do not end an open head.
 IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
-#: Words beside them that turn their meaning, as in "no-sidebar".
-NOT_NOISE = frozenset("no has with without free".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A quote opens a value only after an equals sign.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACES = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "noise", "main", "items")
+    """An element; number: its place among the page's start tags."""
+
+    __slots__ = ("tag", "noise", "perhaps", "main", "number", "items")
+
+    def __init__(self, tag: str, number: int = 0, noise: bool = False, perhaps: bool = False, main: bool = False):
+        self.tag, self.number, self.noise, self.perhaps, self.main, self.items = tag, number, noise, perhaps, main, []
 
-    def __init__(self, tag: str, noise: bool = False, main: bool = False):
-        self.tag, self.noise, self.main, self.items = tag, noise, main, []
 
+def _says(names: list[set[str]], words: frozenset | set) -> bool:
+    """Does a name consist of words, and others that say nothing beside them."""
+    return any(n & words and n <= words | BESIDE for n in names)
 
-def _marks(tag: str, attributes: str, inside: set[str]) -> tuple[bool, bool]:
-    """Is the element noise; is it the main part."""
+
+def _marks(tag: str, attributes: str, plain: bool) -> tuple[bool, bool, bool]:
+    """Is the element noise; perhaps; the main part. plain: it is outside of such a part."""
     if not attributes.strip(" /\n\t\r"):
-        return tag in DROPPED or (tag == "header" and "article" not in inside and "main" not in inside), tag in ("article", "main")
+        return tag in DROPPED or (tag == "header" and plain), False, tag in ("article", "main")
     found = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes)}
-    names = {w.lower() for k in ("class", "id", "role", "aria-label") if k in found for w in _NAME.findall(found[k])}
+    role = found.get("role", "").lower()
+    main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
+    names = [{w.lower() for w in _NAME.findall(x)} - {""} for k in ("class", "id") for x in found.get(k, "").split()] + [{w.lower() for w in _NAME.findall(found.get("aria-label", ""))}]
+    names = [{w for w in n if not w.isdigit()} for n in names]
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    main = tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
-    plain = not inside & {"article", "main"}
-    named = tag not in ("html", "body", "main") and bool(names & NOISE) and not names & NOT_NOISE
-    noise = tag in DROPPED or hidden or named or (plain and (tag == "header" or "header" in names))
-    return noise, main
+    named = tag not in ("html", "body", "main") and (_says(names, NOISE) or role in LANDMARKS)
+    noise = tag in DROPPED or hidden or named or (plain and (tag == "header" or role == "banner" or _says(names, {"header"})))
+    return noise, tag in CONTAINERS and _says(names, NOISE | PERHAPS), main
 
 
 def parse(html: str) -> Node:
     """The element tree; text items are strings. Missing and stray end tags are repaired as browsers do in the main."""
     root = Node("html")
-    stack, open_tags, at = [root], defaultdict(int), 0
+    stack, open_tags, at, number = [root], defaultdict(int), 0, 0
     end = len(html)
     while at < end:
         found = _TAG.search(html, at)
@@ -135,8 +159,8 @@ def parse(html: str) -> Node:
                 depth -= 1
             if to is not None:
                 pop(to)
-        noise, main = _marks(tag, attributes, {t for t in ("article", "main") if open_tags[t] > 0})
-        node = Node(tag, noise, main)
+        number += 1
+        node = Node(tag, number, *_marks(tag, attributes, open_tags["article"] + open_tags["main"] == 0))
         stack[-1].items.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
@@ -171,29 +195,34 @@ def _key(parts: tuple) -> int:
     return xxh3_64_intdigest("\x00".join(parts).encode()) - (1 << 63)
 
 
-def subtree_hashes(root: Node) -> tuple[dict[int, int], int]:
-    """Hash of each element (by id) that is not noise and has text, and the hash of the main part's text."""
+def subtrees(root: Node) -> tuple[list[tuple[Node, int, bool]], int]:
+    """Elements with text that may be removed as templates, with the hash of their subtree and whether they lie inside a
+    main part; and the hash of the main parts."""
     hashes: dict[int, int] = {}
-    todo: list[tuple[Node, bool]] = [(root, False)]
+    inside: dict[int, bool] = {0: False}
+    order: list[Node] = []
+    parts = _parts(root)
+    starts = {id(p) for p in parts if p.main}
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
-        node, done = todo.pop()
-        if node.noise and node is not root:
-            continue
+        node, done, within = todo.pop()
         children = [x for x in node.items if isinstance(x, Node)]
         if not done:
-            todo.append((node, True))
-            todo += [(x, False) for x in children]
+            inside[id(node)] = within
+            within = within or id(node) in starts
+            todo.append((node, True, within))
+            todo += [(x, False, within) for x in children]
             continue
         inner = [t for x in node.items if (t := str(hashes.get(id(x), "")) if isinstance(x, Node) else _SPACES.sub(" ", x).strip())]
         if inner:
             hashes[id(node)] = _key((node.tag, *inner))
-    main = _key(tuple(str(hashes.get(id(p), "")) for p in _parts(root)))
-    return hashes, main
+            order.append(node)
+    found = [(n, hashes[id(n)], inside[id(n)]) for n in order if n.number and id(n) not in starts and (not inside[id(n)] or n.tag in CONTAINERS or n.perhaps or n.noise)]
+    return found, _key(tuple(str(hashes.get(id(p), "")) for p in parts))
 
 
-def blocks(root: Node, templates: frozenset = frozenset(), in_articles: frozenset = frozenset()) -> list[str]:
-    """Text blocks of the main parts in page order, without noise and without the host's template subtrees."""
-    hashes = subtree_hashes(root)[0] if templates or in_articles else {}
+def blocks(root: Node, without: frozenset | set = frozenset()) -> list[str]:
+    """Text blocks of the main parts in page order, without noise and the elements of the numbers in without."""
     out, current = [], []
 
     def flush() -> None:
@@ -202,7 +231,6 @@ def blocks(root: Node, templates: frozenset = frozenset(), in_articles: frozense
         current.clear()
 
     for part in _parts(root):
-        bad = in_articles if part.main else templates
         todo: list = [part]
         while todo:
             node = todo.pop()
@@ -210,7 +238,7 @@ def blocks(root: Node, templates: frozenset = frozenset(), in_articles: frozense
                 flush()
             elif isinstance(node, str):
                 current.append(node)
-            elif (node.noise and node is not part and node is not root) or (node is not part and hashes.get(id(node)) in bad):
+            elif node is not part and (node.noise or node.number in without):
                 if node.tag not in INLINE:
                     flush()
             elif node.tag in INLINE:
@@ -229,70 +257,57 @@ def host_of(url: Column) -> Column:
 
 def _rows(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
-    return pages.select("page_id", "url", html.alias("html"), host_of(F.col("url")).alias("host"))
+    return pages.select("page_id", "url", html.alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("page_key"), F.length(html).alias("page_size"))
+
 
+SUBTREES = "host string, page_key long, page_size int, page long, subtree long, in_article boolean, perhaps boolean, number int"
 
-def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _subtree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        host, page, subtree, article = [], [], [], []
-        for h, html in zip(batch["host"], batch["html"], strict=True):
-            root = parse(html)
-            hashes, main = subtree_hashes(root)
-            inside = set()
-            for part in _parts(root):
-                if part.main:
-                    todo = [x for x in part.items if isinstance(x, Node)]
-                    while todo:
-                        node = todo.pop()
-                        inside.add(id(node))
-                        todo += [x for x in node.items if isinstance(x, Node)]
-            found = {(x, i in inside) for i, x in hashes.items()}
-            host += [h] * len(found)
-            page += [main] * len(found)
-            subtree += [x for x, _ in found]
-            article += [x for _, x in found]
-        yield pd.DataFrame({"host": pd.Series(host, dtype=object), "page": np.array(page, np.int64), "subtree": np.array(subtree, np.int64), "in_article": np.array(article, bool)})
-
-
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
-    """host, subtree, in_article: the subtrees that are their host's template."""
+        out = []
+        for host, key, size, html in zip(batch["host"], batch["page_key"], batch["page_size"], batch["html"], strict=True):
+            found, main = subtrees(parse(html))
+            out += [(host, key, size, main, x, inside, node.perhaps and not node.noise, node.number) for node, x, inside in found]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SUBTREES.split(", ")])
+
+
+def counted_subtrees(pages: DataFrame) -> DataFrame:
+    """SUBTREES of all pages: of which page (key and size of its html, hash of its main part), in the shared folder."""
     rows = common.ship(_rows(pages))
-    found = rows.select("host", "html").mapInPandas(_subtrees, "host string, page long, subtree long, in_article boolean")
-    once = common.materialize(found.distinct(), "subtrees")
-    sizes = once.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = once.groupBy("host", "subtree", "in_article").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    wanted = F.when(F.col("in_article"), F.lit(article_share)).otherwise(F.lit(share))
-    return counts.join(sizes, "host").where(F.col("n") >= wanted * F.col("pages")).select("host", "subtree", "in_article")
+    return common.materialize(rows.select("host", "page_key", "page_size", "html").mapInPandas(_subtree_rows, SUBTREES), "subtrees")
+
+
+def templates(found: DataFrame, least_pages: int = LEAST_PAGES, article_pages: int = ARTICLE_PAGES) -> DataFrame:
+    """host, subtree, in_article and n_pages: the subtrees that are their host's template; found: as counted_subtrees
+    gives them."""
+    once = found.groupBy("host", "subtree", "in_article", "page").agg(F.lit(1).alias("one"))
+    counts = once.groupBy("host", "subtree", "in_article").agg(F.count(F.lit(1)).alias("n_pages"))
+    return counts.where(F.col("n_pages") >= F.when(F.col("in_article"), article_pages).otherwise(least_pages))
+
+
+def removed(found: DataFrame, least_pages: int = LEAST_PAGES, article_pages: int = ARTICLE_PAGES) -> DataFrame:
+    """of_host, of_key, of_size and without (numbers of elements) of the pages that lose some."""
+    recurring = found.join(templates(found, least_pages, article_pages).drop("n_pages"), ["host", "subtree", "in_article"], "left_semi")
+    unsure = found.where("perhaps")
+    large = found.join(unsure.select("host").distinct(), "host", "left_semi").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    named = unsure.join(large, "host", "left_anti")
+    both = recurring.unionByName(named)
+    return both.groupBy(F.col("host").alias("of_host"), F.col("page_key").alias("of_key"), F.col("page_size").alias("of_size")).agg(F.collect_set("number").alias("without"))
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        text = []
-        for html, site, article in zip(batch["html"], batch["site"], batch["article"], strict=True):
-            site = frozenset() if site is None else frozenset(site)
-            article = frozenset() if article is None else frozenset(article)
-            text.append(" ".join(blocks(parse(html), site, article)))
+        text = [" ".join(blocks(parse(html), frozenset() if without is None else frozenset(without))) for html, without in zip(batch["html"], batch["without"], strict=True)]
         ids = batch["page_id"].astype("Int64").array
         yield pd.DataFrame({"page_id": ids, "url": batch["url"], "text": text, "n_chars": np.array(list(map(len, text)), np.int64)})
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, article_pages: int = ARTICLE_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     rows = common.ship(_rows(pages))
-    found = common.materialize(templates(pages, least_pages, share, article_share), "templates")
-    gather = lambda df, *key: df.groupBy(*key).agg(F.collect_list(F.when(~F.col("in_article"), F.col("subtree"))).alias("site"), F.collect_list(F.when(F.col("in_article"), F.col("subtree"))).alias("article"))
-    if found.count() <= BROADCAST_HASHES:
-        joined = rows.join(F.broadcast(gather(found, "host")), "host", "left")
-    else:
-        page_key = F.xxhash64("html", F.length("html"))
-        own = rows.withColumn("page_key", page_key).select("host", "html", "page_key").mapInPandas(_keyed_subtrees, "host string, page_key long, subtree long, in_article boolean").distinct()
-        mine = gather(own.join(found, ["host", "subtree", "in_article"], "left_semi"), "host", "page_key")
-        joined = rows.withColumn("page_key", page_key).join(mine, ["host", "page_key"], "left")
-    return joined.select("page_id", "url", "html", "site", "article").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
-
-
-def _keyed_subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for key, host, html in zip(batch["page_key"], batch["host"], batch["html"], strict=True):
-            for made in _subtrees(iter([pd.DataFrame({"host": [host], "html": [html]})])):
-                yield made.drop(columns="page").assign(page_key=key)[["host", "page_key", "subtree", "in_article"]]
+    gone = common.materialize(removed(counted_subtrees(pages), least_pages, article_pages), "removed")
+    places = gone.agg(F.sum(F.size("without") + 1)).first()[0] or 0
+    same = (rows["host"] == gone["of_host"]) & (rows["page_key"] == gone["of_key"]) & (rows["page_size"] == gone["of_size"])
+    joined = rows.join(F.broadcast(gone) if places <= BROADCAST_PLACES else gone, same, "left")
+    return joined.select("page_id", "url", "html", "without").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")

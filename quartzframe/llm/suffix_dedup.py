@@ -5,20 +5,24 @@ it is alone with its digits so far; what is left after the last digit in equal g
 A table of all suffixes (an entry a byte) does not fit, so the first digit is taken where texts agree to take it:
 
 1. Gram: of every window of ``threshold`` bytes, the least of its 256-byte grams by hash is its anchor. Equal windows
-   have the same anchor at the same place, so a window whose anchor's gram is alone in the corpus is alone. Only
-   anchors are sent, about one for 70 bytes, and most leave here.
+   have the same anchor at the same place, so a window whose anchor's gram is alone in the corpus is alone. Grams are
+   counted first, anchors whose gram is repeated made second, so that only these are written. A bit filter of a fixed
+   size tells them; what it lets pass wrongly leaves with the next digit.
 2. Surroundings: the bytes of all windows of an anchor. Where two anchors agree in these, all windows are repeated.
-3. Core: anchors that share a gram but not all surroundings send, one of each kind, the bytes around the gram. The
-   windows of an anchor lie in groups of CORE neighbours; a core is what all of a group have in common. Cores that are
-   alone leave.
-4. Window: all ``threshold`` bytes of each window that is left.
+3. Windows: anchors that share a gram but not all surroundings send, one of each kind, the bytes around the gram once.
+   These meet by gram, and the windows' hashes are sorted there; equal neighbours are repeated windows.
 
-All windows of one anchor overlap in its gram, so an anchor needs only its first and last repeated window, and a
-document the union of its anchors' intervals. Digits are compared as two independent 64-bit polynomial hashes.
+Hot grams are those with more than a ten-thousandth of all anchors, so there are at most ten thousand, whatever the
+corpus; their list alone is broadcast. All other grams meet in groups of at most that size, or of LEAST_HOT. The anchors of hot grams
+are dealt by finer digits: by surroundings with partial sums, then by cores (the windows of an anchor lie in groups of
+CORE neighbours; a core is what all of a group have in common; cores that are alone leave), then by windows. Digits
+that are hot again are joined by a broadcast of at most ten thousand of them. So a passage in any number of documents,
+or a group of copies of any size, is no task's burden.
 
-Each pass counts its digits with partial sums and keeps the rows of repeated ones (``_repeated``): digits with more than
-a ten-thousandth of all rows are at most ten thousand, so these alone are broadcast and all others meet in small groups.
-So a passage in any number of documents, or a group of copies of any size, is no task's burden.
+All windows of one anchor overlap in its gram, so an anchor needs only its first and last repeated window, and a
+document the union of its anchors' intervals. Digits are compared as two independent 64-bit polynomial hashes. Texts
+are shuffled only where a filter of a fixed size says that they may hold something to remove; it saves work while the
+corpus is small enough, and decides nothing.
 
 Rows: a null text is an empty one; texts below the threshold keep all bytes. Repeated rows are documents each, so they
 repeat each other. Texts are handled whole; a text of one repeated character is linear, too. A null doc_id is kept.
@@ -28,6 +32,7 @@ An empty table gives no rows. Extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,15 +47,13 @@ THRESHOLD = 400
 GRAM = 256
 #: Neighbouring windows that share a core.
 CORE = 16
-#: Bytes, as they lie in an executor's memory, up to which a table is broadcast; and what a row takes there besides the
-#: elements of its arrays.
-BROADCAST_BYTES = 128 << 20
-ROW_BYTES, ELEMENT_BYTES = 128, 40
-#: A digit is hot with more than this part of all rows.
-HOT = 10_000
+#: A digit is hot with more than this part of all rows, and more than so many rows.
+HOT, LEAST_HOT = 10_000, 1000
+#: Bits of a filter.
+FILTER_BITS = 1 << 26
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(m, -1, 1 << 64) for m in _MULTIPLIERS)
-ANCHORS = "doc_id long, text_hash long, at int, low int, high int, gram long, around1 long, around2 long"
+ANCHORS = "doc_id long, text_hash long, at int, low int, high int, gram long, around long"
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
@@ -127,7 +130,18 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.encode(text, "UTF-8").alias("data"))
 
 
-def _anchor_rows(threshold: int, gram: int):
+def _gram_rows(threshold: int, gram: int):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grams = [anchors(_Prefixes(data), threshold, gram)[1] for data in batch["data"] if len(data) >= threshold]
+            if grams:
+                found, n = np.unique(np.concatenate(grams), return_counts=True)
+                yield pd.DataFrame({"gram": found.view(np.int64), "n": n})
+
+    return rows
+
+
+def _anchor_rows(threshold: int, gram: int, wanted):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             owner, parts = [], []
@@ -136,15 +150,16 @@ def _anchor_rows(threshold: int, gram: int):
                     continue
                 prefixes = _Prefixes(data)
                 at, h, low, high = anchors(prefixes, threshold, gram)
-                around = [prefixes.hashes(at - high, at - low + threshold, k) for k in (0, 1)]
-                owner.append(np.full(len(at), i))
-                parts.append((at, low, high, h, *around))
+                at, h, low, high = (x[_passes(wanted.value, h.view(np.int64))] for x in (at, h, low, high))
+                if len(at):
+                    owner.append(np.full(len(at), i))
+                    parts.append((at, low, high, h, prefixes.hashes(at - high, at - low + threshold, 1)))
             if owner:
                 owners = np.concatenate(owner)
-                at, low, high, h, a1, a2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at, low, high, h, around = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].astype("Int64").array[owners], "text_hash": batch["text_hash"].to_numpy()[owners], "at": at.astype(np.int32), "low": low.astype(np.int32), "high": high.astype(np.int32),
-                    "gram": h.view(np.int64), "around1": a1.view(np.int64), "around2": a2.view(np.int64),
+                    "gram": h.view(np.int64), "around": around.view(np.int64),
                 })
 
     return rows
@@ -155,15 +170,45 @@ def _contexts(threshold: int):
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [(w["anchor"], w["low"], w["high"], data[w["at"] - w["high"] : w["at"] - w["low"] + threshold]) for data, wanted in zip(batch["data"], batch["wanted"], strict=True) for w in wanted]
-            yield pd.DataFrame(made, columns=["anchor", "low", "high", "context"])
+            made = [(w["anchor"], w["gram"], w["low"], w["high"], data[w["at"] - w["high"] : w["at"] - w["low"] + threshold]) for data, wanted in zip(batch["data"], batch["wanted"], strict=True) for w in wanted]
+            yield pd.DataFrame(made, columns=["anchor", "gram", "low", "high", "context"])
 
     return rows
 
 
-def _digits(batches: Iterator[pd.DataFrame], threshold: int, pick) -> Iterator[pd.DataFrame]:
-    """pick(low, high, groups): the groups or offsets of a context, and first and end byte of each, counted from the
-    place of the anchor."""
+def _repeated_windows(threshold: int):
+    """Of rows that come gram by gram: the anchors with windows that another anchor has, too, and the nearest and
+    farthest start of these."""
+    every = lambda row: (x := np.arange(row.low, row.high + 1), -x, -x + threshold)
+
+    def ends(rows: pd.DataFrame) -> pd.DataFrame:
+        made = pd.concat([*_digits(iter([rows]), every), pd.DataFrame({c: pd.Series(dtype=np.int64) for c in ("anchor", "number", "digit1", "digit2")})])
+        digits = made[["digit1", "digit2", "number"]].to_numpy(np.int64)
+        order = np.lexsort(digits.T)
+        same = (digits[order][1:] == digits[order][:-1]).all(axis=1)
+        repeated = np.zeros(len(made), bool)
+        repeated[order[1:][same]] = repeated[order[:-1][same]] = True
+        found = made[repeated].groupby("anchor")["number"].agg(["min", "max"])
+        return pd.DataFrame({"anchor": found.index.astype(np.int64), "nearest": found["min"].astype(np.int32), "farthest": found["max"].astype(np.int32)})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            for at in range(0, len(batch), 4000):
+                part = batch.iloc[at : at + 4000]
+                part = part if rest is None else pd.concat([rest, part])
+                whole = (part["gram"] != part["gram"].iloc[-1]).to_numpy()
+                rest = part[~whole]
+                if whole.any():
+                    yield ends(part[whole])
+        if rest is not None:
+            yield ends(rest)
+
+    return rows
+
+
+def _digits(batches: Iterator[pd.DataFrame], pick) -> Iterator[pd.DataFrame]:
+    """pick(row): the groups or offsets of a context, and first and end byte of each, counted from the anchor's place."""
     for batch in batches:
         owner, number, made = [], [], []
         for row in batch.itertuples():
@@ -182,7 +227,7 @@ def _cores(threshold: int, core: int):
         groups = np.arange(row.low // core, row.high // core + 1)
         return groups, -core * groups, -core * groups - (core - 1) + threshold
 
-    return lambda batches: _digits(batches, threshold, pick)
+    return lambda batches: _digits(batches, pick)
 
 
 def _windows(threshold: int, core: int):
@@ -192,7 +237,7 @@ def _windows(threshold: int, core: int):
         offsets = offsets[(offsets >= row.low) & (offsets <= row.high)]
         return offsets, -offsets, -offsets + threshold
 
-    return lambda batches: _digits(batches, threshold, pick)
+    return lambda batches: _digits(batches, pick)
 
 
 def _without(data: bytes, spans) -> tuple[int, int, int, str, str]:
@@ -220,57 +265,126 @@ def _kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield made
 
 
-def _small(df: DataFrame, array: str | None = None) -> DataFrame:
-    """df (a table in the shared folder), marked for broadcast if its rows, and the elements of their arrays, are known
-    to take little memory."""
-    rows, elements = df.agg(F.count(F.lit(1)), F.sum(F.size(array)) if array else F.lit(0)).first()
-    return F.broadcast(df) if rows * ROW_BYTES + (elements or 0) * ELEMENT_BYTES <= BROADCAST_BYTES else df
+def _place(key: np.ndarray, n_bits: int) -> np.ndarray:
+    """Where a long key's bit is in a filter; n_bits is a power of two."""
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - n_bits.bit_length() + 1)).astype(np.int64)
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _place(keys, 8 * len(bits))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _filter(keys: DataFrame):
+    """A broadcast filter of FILTER_BITS bits that passes every key (a long) and few others while keys are few. Tasks
+    send filters, or their places if that is less, and these are united in a tree; so no size depends on the corpus."""
+    (name,) = keys.columns
+    size = FILTER_BITS // 8
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = _place(batch[name].to_numpy(np.int64), 8 * size)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield from parts(bits)
+
+    def parts(bits: np.ndarray) -> Iterator[pd.DataFrame]:
+        step = 1 << 16
+        found = [(i, zlib.compress(bits[i * step : (i + 1) * step].tobytes(), 1)) for i in range(-(-size // step)) if bits[i * step : (i + 1) * step].any()]
+        yield pd.DataFrame(found, columns=["part", "bits"])
+
+    def united(batch: pd.DataFrame) -> pd.DataFrame:
+        out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in batch["bits"]])
+        return pd.DataFrame({"part": [batch["part"].iloc[0]], "bits": [zlib.compress(out.tobytes(), 1)]})
+
+    made = keys.mapInPandas(places, "part int, bits binary")
+    bits = np.zeros(size, np.uint8)
+    for row in made.groupBy("part").applyInPandas(united, "part int, bits binary").collect():
+        own = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        bits[row["part"] << 16 : (row["part"] << 16) + len(own)] = own
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _hot(counts: DataFrame, digits: list[str]) -> tuple[DataFrame, int]:
+    """The digits with more than a HOT-th of all rows of counts (digits, n), HOT at most, marked for broadcast; and the
+    greatest n of the others."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(LEAST_HOT, total // HOT)
+    return F.broadcast(counts.where(F.col("n") > most).select(*digits)), most
 
 
 def _counted(df: DataFrame, digits: list[str], *more, name: str) -> DataFrame:
-    return common.materialize(df.groupBy(*digits).agg(F.count(F.lit(1)).alias("n"), *more), name)
+    return common.materialize(df.groupBy(*digits).agg(F.count(F.lit(1)).alias("n"), *more).where("n > 1"), name)
 
 
 def _repeated(df: DataFrame, counts: DataFrame, digits: list[str]) -> DataFrame:
-    """The rows of df whose digits occur more than once by counts (digits, n): hot ones by a broadcast of at most HOT
-    digits, whatever the table's size; the others by a join in which no key has more than total / HOT rows."""
-    counts = counts.where("n > 1").select(*digits, "n")
-    total, groups = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    if groups * ROW_BYTES <= BROADCAST_BYTES:
-        return df.join(F.broadcast(counts.drop("n")), digits, "left_semi")
-    most = max(1000, total // HOT)
-    hot = F.broadcast(counts.where(F.col("n") > most).drop("n"))
-    cold = df.join(hot, digits, "left_anti").join(counts.where(F.col("n") <= most).drop("n"), digits, "left_semi")
+    """The rows of df whose digits are in counts (digits, n > 1): hot ones by a broadcast, the others by a join in which
+    no key has many rows."""
+    hot, most = _hot(counts, digits)
+    cold = df.join(hot, digits, "left_anti").join(counts.where(F.col("n") <= most).select(*digits).hint("merge"), digits, "left_semi")
     return df.join(hot, digits, "left_semi").unionByName(cold)
 
 
-def _same_document(left: DataFrame, right: DataFrame):
-    return left["doc_id"].eqNullSafe(right["of_doc"]) & (left["text_hash"] == right["of_text"])
+def _with_spans(texts: DataFrame, found: DataFrame, others: bool) -> DataFrame:
+    """texts joined with found (of_doc, of_text and others); rows without any only if others. Only texts that a filter
+    passes are shuffled."""
+    wanted = _filter(found.select(F.xxhash64("of_doc", "of_text").alias("key")))
+
+    @F.pandas_udf("boolean")
+    def passes(key: pd.Series) -> pd.Series:
+        return pd.Series(_passes(wanted.value, key.to_numpy(np.int64)))
+
+    same = texts["doc_id"].eqNullSafe(found["of_doc"]) & (texts["text_hash"] == found["of_text"])
+    passing = passes(F.xxhash64("doc_id", "text_hash"))
+    joined = texts.where(passing).join(found.hint("merge"), same, "left" if others else "inner").drop("of_doc", "of_text")
+    return joined.unionByName(texts.where(~passing), allowMissingColumns=True) if others else joined
+
+
+def _hot_rows(alive: DataFrame, around: list[str]) -> DataFrame:
+    """n (anchors with equal surroundings), first (one of each kind) and n_kinds of the gram, for anchors of hot grams."""
+    kinds = alive.groupBy(*around).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "at")).alias("chosen"))
+    kinds = common.materialize(kinds, "hot-kinds")
+    many = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n_kinds"))  # of the grams of a broadcast list
+    one = kinds.join(F.broadcast(common.materialize(many, "hot-grams")), "gram").select("chosen.*", "low", "high", "gram", "n", F.lit(True).alias("first"), "n_kinds")
+    again = _repeated(alive, kinds.where("n > 1"), around).select("doc_id", "text_hash", "at", "low", "high", "gram", F.lit(2).cast("long").alias("n"), F.lit(False).alias("first"), F.lit(1).cast("long").alias("n_kinds"))
+    return one.unionByName(again)
+
+
+def _hot_ends(contexts: DataFrame, threshold: int, core: int) -> DataFrame:
+    """anchor, nearest and farthest repeated window, by cores, then by windows."""
+    digits, columns = ["number", "digit1", "digit2"], "anchor long, number int, digit1 long, digit2 long"
+    cores = common.materialize(contexts.mapInPandas(_cores(threshold, core), columns), "cores")
+    left = _repeated(cores, _counted(cores, digits, name="core-counts"), digits).groupBy("anchor").agg(F.collect_set("number").alias("groups"))
+    windows = common.materialize(contexts.join(left, "anchor").mapInPandas(_windows(threshold, core), columns), "windows")
+    return _repeated(windows, _counted(windows, digits, name="window-counts"), digits).groupBy("anchor").agg(F.min("number").alias("nearest"), F.max("number").alias("farthest"))
 
 
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, core: int = CORE) -> DataFrame:
     """of_doc, of_text (hash) and spans (array of start, end; they may overlap) of documents with repeated bytes."""
     texts = common.ship(_documents(docs))
-    found = common.materialize(texts.mapInPandas(_anchor_rows(threshold, gram), ANCHORS), "anchors")
-    alive = common.materialize(_repeated(found, _counted(found, ["gram"], name="grams"), ["gram"]), "alive")
-    # second digit: equal surroundings
-    around = ["gram", "low", "high", "around1", "around2"]
-    kinds = _counted(alive, around, F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), name="kinds")
-    by_around = _repeated(alive, kinds, around).select("doc_id", "text_hash", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + threshold).alias("end"))
+    n = common.partitions(docs)
+    grams = texts.select("data").mapInPandas(_gram_rows(threshold, gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    grams = common.materialize(grams, "grams")
+    alive = common.materialize(texts.mapInPandas(_anchor_rows(threshold, gram, _filter(grams.select("gram"))), ANCHORS), "anchors")
+    hot, _ = _hot(grams, ["gram"])
+    # second digit: equal surroundings. Cold grams meet whole; one shuffle serves all windows
+    around = ["gram", "low", "high", "around"]
+    cold = alive.join(hot, "gram", "left_anti").repartition(n, "gram")
+    kind, in_order = Window.partitionBy(*around), Window.partitionBy(*around).orderBy("doc_id", "text_hash", "at")
+    cold = cold.withColumn("n", F.count(F.lit(1)).over(kind)).withColumn("first", F.row_number().over(in_order) == 1)
+    cold = cold.withColumn("n_kinds", F.sum(F.col("first").cast("long")).over(Window.partitionBy("gram"))).drop("around")
+    rows = cold.unionByName(_hot_rows(alive.join(hot, "gram", "left_semi"), around)).where("n > 1 OR (first AND n_kinds > 1)")
+    rows = common.materialize(rows.withColumn("anchor", F.monotonically_increasing_id()), "repeated")
+    by_around = rows.where("n > 1").select("doc_id", "text_hash", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + threshold).alias("end"))
     # the bytes around one anchor of each kind, where a gram has several kinds
-    edges = _repeated(kinds, _counted(kinds.select("gram"), ["gram"], name="gram-kinds"), ["gram"]).select("first.*", "low", "high", "n")
-    edges = common.materialize(edges.withColumn("anchor", F.monotonically_increasing_id()), "edges")
-    wanted = edges.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).agg(F.collect_list(F.struct("anchor", "at", "low", "high")).alias("wanted"))
-    wanted = common.materialize(wanted, "wanted")
-    with_wanted = texts.join(_small(wanted, "wanted"), _same_document(texts, wanted)).select("data", "wanted")
-    contexts = common.materialize(with_wanted.mapInPandas(_contexts(threshold), "anchor long, low int, high int, context binary").distinct(), "contexts")
-    # third digit: cores
-    digits, columns = ["number", "digit1", "digit2"], "anchor long, number int, digit1 long, digit2 long"
-    cores = common.materialize(contexts.mapInPandas(_cores(threshold, core), columns), "cores")
-    left = _repeated(cores, _counted(cores, digits, name="core-counts"), digits).groupBy("anchor").agg(F.collect_set("number").alias("groups"))
+    edges = rows.where("first AND n_kinds > 1")
+    wanted = edges.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).agg(F.collect_list(F.struct("anchor", "gram", "at", "low", "high")).alias("wanted"))
+    with_wanted = _with_spans(texts, common.materialize(wanted, "wanted"), others=False).dropDuplicates(["doc_id", "text_hash"]).select("data", "wanted")
+    contexts = common.materialize(with_wanted.mapInPandas(_contexts(threshold), "anchor long, gram long, low int, high int, context binary"), "contexts")
     # last digit: windows
-    windows = common.materialize(contexts.join(left, "anchor").mapInPandas(_windows(threshold, core), columns), "windows")
-    ends = _repeated(windows, _counted(windows, digits, name="window-counts"), digits).groupBy("anchor").agg(F.min("number").alias("nearest"), F.max("number").alias("farthest"))
+    near = contexts.join(hot, "gram", "left_anti").repartition(n, "gram").sortWithinPartitions("gram")
+    ends = near.mapInPandas(_repeated_windows(threshold), "anchor long, nearest int, farthest int").unionByName(_hot_ends(contexts.join(hot, "gram", "left_semi"), threshold, core))
+    ends = common.materialize(ends, "ends")
     by_window = edges.where("n = 1").join(ends, "anchor").select("doc_id", "text_hash", (F.col("at") - F.col("farthest")).alias("start"), (F.col("at") - F.col("nearest") + threshold).alias("end"))
     spans = by_around.union(by_window).distinct().groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"))
     return spans.agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -281,5 +395,5 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     is left out) of every row."""
     texts = common.ship(_documents(docs))
     spans = common.materialize(repeated_spans(docs, threshold, gram), "spans")
-    joined = texts.join(_small(spans, "spans"), _same_document(texts, spans), "left")
+    joined = _with_spans(texts, spans, others=True)
     return joined.select("doc_id", "data", "spans").mapInPandas(_kept_rows, KEPT)

@@ -216,21 +216,70 @@ def test_extraction_of_parts():
     for html, want in plain.items():
         assert html_extract.blocks(html_extract.parse(html)) == want
     assert html_extract.blocks(html_extract.parse("<div>" * 20000 + "deep")) == ["deep"]
+    # names that mean content; quotes as browsers read them
+    kept = '<article><section id="related-work"><p>a</p></section><div class="search-and-rescue">b</div><p class="promotion">c</p><div class="market-share no-sidebar">d</div></article>'
+    assert html_extract.blocks(html_extract.parse(kept)) == ["a", "b", "c", "d"]
+    assert html_extract.blocks(html_extract.parse("<p title=it's>Hello</p><p>World's end</p><p alt='>' x=\">\">tail</p>")) == ["Hello", "World's end", "tail"]
+    gone = '<article>a<div class="footer-links">x</div><div id="comments-2">x</div><aside>x</aside><div role=navigation>x</div><ul class="share-buttons post"><li>x</ul>b</article>'
+    assert html_extract.blocks(html_extract.parse(gone)) == ["a", "b"]
+
+
+def test_extraction_equals_a_plain_version(spark):
+    """The pages of the small tables have their text in one article of paragraphs."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.on, self.parts = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.on = self.on or tag == "article"
+            self.parts += [" "] if self.on and tag != "b" else []
+
+        def handle_endtag(self, tag):
+            self.parts += [" "] if self.on and tag != "b" else []
+            self.on = self.on and tag != "article"
+
+        def handle_data(self, data):
+            self.parts += [data] if self.on else []
+
+    def plain(html):
+        parser = Plain()
+        parser.feed(html or "")
+        return " ".join("".join(parser.parts).split())
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()}
+    assert got == {r["page_id"]: (r["url"], plain(r["html"]), len(plain(r["html"]))) for r in pages.collect()}
+    whole = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert html_extract.templates(html_extract.counted_subtrees(whole), least_pages=2).count() > 0
 
 
 def test_extraction_removes_templates_and_keeps_articles(spark, monkeypatch):
     page = lambda i: f"<div><p>Read our letter every week</p></div><div><p>{h.prose(i, 30)}</p></div>"
     article = "<body><div>Big menu of the site</div><article><h1>{0}</h1><p>{1}</p></article>"
+    boxed = lambda i: f"<article><p>The same line everywhere</p><div><p>Join us now</p></div><p>{h.prose(i, 30)}</p><div class=related>Other things</div></article>"
     made = [(i, "http://a.example/x", page(i)) for i in range(12)] + [(20 + i, "http://b.example/x", article.format(h.prose(9, 4), h.prose(9, 40))) for i in range(12)]
+    made += [(100 + i, "http://d.example/", boxed(i)) for i in range(25)] + [(200 + i, "http://e.example/", boxed(i)) for i in range(15)] + [(300 + i, "http://f.example/", boxed(i)) for i in range(3)]
+    made += [(400 + i, "http://g.example/", page(i)) for i in range(8)] + [(500 + i, "http://h.example/", page(i % 8)) for i in range(40)]
     made += [(50, None, None), (51, "http://c.example", ""), (None, "http://a.example/n", page(99)), (0, "http://a.example/x", page(0))]
-    df = spark.createDataFrame(made, "page_id long, url string, html string").withColumn("host", F.lit(1))
+    df = spark.createDataFrame(made, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("number", F.lit(1))
     for bound in (10**6, 0):
-        monkeypatch.setattr(html_extract, "BROADCAST_HASHES", bound)
-        got = {(r["page_id"], r["url"]): r for r in html_extract.extract(df).collect()}
-        assert html_extract.extract(df).count() == len(made)
-        assert all(got[i, "http://a.example/x"]["text"] == h.prose(i, 30) for i in range(12))
-        assert got[25, "http://b.example/x"]["text"] == f"{h.prose(9, 4)} {h.prose(9, 40)}"
+        monkeypatch.setattr(html_extract, "BROADCAST_PLACES", bound)
+        rows = html_extract.extract(df).collect()
+        got = {(r["page_id"], r["url"]): r for r in rows}
+        text = {r["page_id"]: r["text"] for r in rows}
+        assert len(rows) == len(made)
+        assert all(text[i] == h.prose(i, 30) for i in range(12))
+        assert text[25] == f"{h.prose(9, 4)} {h.prose(9, 40)}"
         assert got[50, None]["text"] == "" and got[50, None]["n_chars"] == 0
+        # in articles boxes go that recur on 20 pages, with telling names where a host has too few pages to know
+        assert all(text[100 + i] == f"The same line everywhere {h.prose(i, 30)}" for i in range(25))
+        assert all(text[200 + i] == f"The same line everywhere Join us now {h.prose(i, 30)} Other things" for i in range(15))
+        assert all(text[300 + i] == f"The same line everywhere Join us now {h.prose(i, 30)}" for i in range(3))
+        # eight different pages are too few, also in 40 rows
+        assert all(text[i].startswith("Read our letter") for i in (*range(400, 408), *range(500, 540)))
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
@@ -347,7 +396,9 @@ def test_suffix_dedup(spark, monkeypatch):
     df = spark.createDataFrame(pairs, "doc_id long, text string").withColumn("at", F.lit(1))
     for parts in (1, 7):
         assert sorted(map(tuple, suffix_dedup.remove_repeats(df.repartition(parts)).drop("text").collect()), key=repr) == h.repeats(pairs, 400)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 0)
+    # all that is repeated counts as hot, and the filters pass nearly everything
+    monkeypatch.setattr(suffix_dedup, "LEAST_HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "FILTER_BITS", 8)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(df).drop("text").collect()), key=repr) == h.repeats(pairs, 400)
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
