@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +62,74 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+#: A key is hot with more than this part of all rows, and more than so many rows.
+HOT, LEAST_HOT = 10_000, 1000
+#: Bits of a filter.
+FILTER_BITS = 1 << 26
+
+
+def hot_keys(counts: DataFrame, keys: list[str], least: int = 0) -> tuple[DataFrame, int]:
+    """The keys with more than a HOT-th of all rows of counts (keys, n): HOT at most, whatever the table, and so marked
+    for broadcast; and the greatest n of the others."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(least or LEAST_HOT, total // HOT)
+    return F.broadcast(counts.where(F.col("n") > most).select(*keys)), most
+
+
+def join_counted(df: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """df joined with counts (keys, n and others; each key once): hot ones by a broadcast, the others by a join in which
+    no key has many rows."""
+    hot, most = hot_keys(counts, keys)
+    many = F.broadcast(counts.where(F.col("n") > most))
+    return df.join(many, keys).unionByName(df.join(hot, keys, "left_anti").join(counts.where(F.col("n") <= most).hint("merge"), keys))
+
+
+def _bit(key: np.ndarray, n_bits: int) -> np.ndarray:
+    """Where a long key's bit is in a filter; n_bits is a power of two."""
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - n_bits.bit_length() + 1)).astype(np.int64)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a filter lets pass: all that it was made of, and by chance some more."""
+    at = _bit(keys, 8 * len(bits))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bit_filter(keys: DataFrame):
+    """A filter of FILTER_BITS bits of a column of longs, broadcast. Tasks send what they have set of it, and the parts are
+    united on the executors; so no size depends on the table."""
+    (name,) = keys.columns
+    size, step = FILTER_BITS // 8, 1 << 16
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = _bit(batch[name].to_numpy(np.int64), 8 * size)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        parts = [bits[at : at + step] for at in range(0, size, step)]
+        yield pd.DataFrame([(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(parts) if x.any()], columns=["part", "bits"])
+
+    def united(batch: pd.DataFrame) -> pd.DataFrame:
+        out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in batch["bits"]])
+        return pd.DataFrame({"part": [batch["part"].iloc[0]], "bits": [zlib.compress(out.tobytes(), 1)]})
+
+    bits = np.zeros(size, np.uint8)
+    for row in ship(keys).mapInPandas(places, "part int, bits binary").groupBy("part").applyInPandas(united, "part int, bits binary").collect():
+        own = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        bits[row["part"] * step : row["part"] * step + len(own)] = own
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def passing(wanted, key: Column) -> Column:
+    """Does the filter wanted, as bit_filter gives it, let key pass."""
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(wanted.value, keys.to_numpy(np.int64)))
+
+    return test(key)
+
+
 def ship(df: DataFrame) -> DataFrame:
     """df, once its session's Python workers can import this subpackage wherever they run: a zip of it is added to the
     session's Python files once per application."""

@@ -39,40 +39,45 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    from xxhash import xxh64_intdigest
-
+def shingles(text: bytes, shingle: int = SHINGLE) -> Iterator[list[bytes]]:
+    """The word shingles of a text in blocks; of fewer words all in one, of none nothing."""
     words = _SPLIT.findall(text.translate(_LOWER))
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     n = max(1, len(words) - shingle + 1)
     first, last = (ends - lengths)[:n].tolist(), ends[len(words) - n :].tolist()
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+        yield [joined[a:b] for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)]
+
+
+def hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    from xxhash import xxh64_intdigest
+
+    for block in shingles(text, shingle):
+        yield np.array([xxh64_intdigest(s, seed) for s in block], "<u8")
 
 
-def text_key(docs: DataFrame) -> Column:
-    """A hash that only equal texts share; null is a text of its own."""
-    return F.xxhash64(docs["text"], F.length(docs["text"]))
+def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for block in hashes(text, shingle, seed):
+        counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(block)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row; if keyed, also the text_key."""
-    extra = ["text_key"] if keyed else []
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id and fp (the 64 bits as a long) of every row."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = [simhash(t.encode(), shingle, seed) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64), **{c: batch[c] for c in extra}})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64)})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(text_key(docs).alias(c) for c in extra))
-    return common.ship(rows).mapInPandas(hashed, ", ".join(f"{c} long" for c in ("doc_id", "fp", *extra)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return common.ship(rows).mapInPandas(hashed, "doc_id long, fp long")
 
 
 def _mask(*segments: int) -> int:
@@ -92,7 +97,7 @@ def links(fps: DataFrame) -> DataFrame:
     stored = fps.select("fp", F.explode(table(kept)).alias("k")).select(F.col("k.chain").alias("chain"), key.alias("key"), F.col("fp").alias("a"))
     wanted = fps.select("fp", F.explode(table(kept + cleared)).alias("k")).where((F.col("k.bit") == 0) | (F.col("k.bit").bitwiseAND(F.col("fp")) != 0))
     wanted = wanted.select(F.col("k.chain").alias("chain"), key.alias("key"), F.col("fp").alias("b"))
-    pairs = wanted.join(stored.hint("shuffle_hash"), ["chain", "key"]).where((F.col("a") != F.col("b")) & within(F.col("a"), F.col("b")))
+    pairs = wanted.join(stored.hint("merge"), ["chain", "key"]).where((F.col("a") != F.col("b")) & within(F.col("a"), F.col("b")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -143,20 +148,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
     of every row."""
     rows = common.materialize(fingerprints(docs, shingle, seed), "fingerprints")
     return rows.join(labels(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
-
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id. Rows without a doc_id stay only if
-    nothing with one is in their component; of rows that tie, one stays. A kept row is known by its doc_id and text, as
-    components may share a doc_id or have none. Texts are shuffled once, without a sort."""
-    found = common.materialize(fingerprints(docs, shingle, seed, keyed=True), "fingerprints")
-    least = found.join(labels(found), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    least = least.groupBy("root", F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count(F.lit(1)).alias("kept_rows"))
-    keep = least.groupBy("root").agg(F.min(F.struct("kept_key", "kept_id", "kept_rows")).alias("kept")).select("kept.*")
-    keep = common.materialize(keep, "kept")
-    rows = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]) & (text_key(docs) == keep["kept_key"]))
-    own = [docs[c] for c in docs.columns]
-    if keep.where("kept_rows > 1").isEmpty():
-        return rows.select(*own)
-    once = rows.where(keep["kept_rows"] == 1).select(*own)
-    return once.union(rows.where(keep["kept_rows"] > 1).select(*own).dropDuplicates(["doc_id", "text"]))

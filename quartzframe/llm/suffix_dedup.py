@@ -13,7 +13,7 @@ A table of all suffixes (an entry a byte) does not fit, so the first digit is ta
    These meet by gram, and the windows' hashes are sorted there; equal neighbours are repeated windows.
 
 Hot grams are those with more than a ten-thousandth of all anchors, so there are at most ten thousand, whatever the
-corpus; their list alone is broadcast. All other grams meet in groups of at most that size, or of LEAST_HOT. The anchors of hot grams
+corpus; their list alone is broadcast. All other grams meet in groups of at most that size, or of common.LEAST_HOT. The anchors of hot grams
 are dealt by finer digits: by surroundings with partial sums, then by cores (the windows of an anchor lie in groups of
 CORE neighbours; a core is what all of a group have in common; cores that are alone leave), then by windows. Digits
 that are hot again are joined by a broadcast of at most ten thousand of them. So a passage in any number of documents,
@@ -32,7 +32,6 @@ An empty table gives no rows. Extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,10 +46,6 @@ THRESHOLD = 400
 GRAM = 256
 #: Neighbouring windows that share a core.
 CORE = 16
-#: A digit is hot with more than this part of all rows, and more than so many rows.
-HOT, LEAST_HOT = 10_000, 1000
-#: Bits of a filter.
-FILTER_BITS = 1 << 26
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(m, -1, 1 << 64) for m in _MULTIPLIERS)
 ANCHORS = "doc_id long, text_hash long, at int, low int, high int, gram long, around long"
@@ -150,7 +145,7 @@ def _anchor_rows(threshold: int, gram: int, wanted):
                     continue
                 prefixes = _Prefixes(data)
                 at, h, low, high = anchors(prefixes, threshold, gram)
-                at, h, low, high = (x[_passes(wanted.value, h.view(np.int64))] for x in (at, h, low, high))
+                at, h, low, high = (x[common.passes(wanted.value, h.view(np.int64))] for x in (at, h, low, high))
                 if len(at):
                     owner.append(np.full(len(at), i))
                     parts.append((at, low, high, h, prefixes.hashes(at - high, at - low + threshold, 1)))
@@ -265,77 +260,20 @@ def _kept_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield made
 
 
-def _place(key: np.ndarray, n_bits: int) -> np.ndarray:
-    """Where a long key's bit is in a filter; n_bits is a power of two."""
-    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - n_bits.bit_length() + 1)).astype(np.int64)
-
-
-def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _place(keys, 8 * len(bits))
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def _filter(keys: DataFrame):
-    """A broadcast filter of FILTER_BITS bits that passes every key (a long) and few others while keys are few. Tasks
-    send filters, or their places if that is less, and these are united in a tree; so no size depends on the corpus."""
-    (name,) = keys.columns
-    size = FILTER_BITS // 8
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(size, np.uint8)
-        for batch in batches:
-            at = _place(batch[name].to_numpy(np.int64), 8 * size)
-            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        yield from parts(bits)
-
-    def parts(bits: np.ndarray) -> Iterator[pd.DataFrame]:
-        step = 1 << 16
-        found = [(i, zlib.compress(bits[i * step : (i + 1) * step].tobytes(), 1)) for i in range(-(-size // step)) if bits[i * step : (i + 1) * step].any()]
-        yield pd.DataFrame(found, columns=["part", "bits"])
-
-    def united(batch: pd.DataFrame) -> pd.DataFrame:
-        out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in batch["bits"]])
-        return pd.DataFrame({"part": [batch["part"].iloc[0]], "bits": [zlib.compress(out.tobytes(), 1)]})
-
-    made = keys.mapInPandas(places, "part int, bits binary")
-    bits = np.zeros(size, np.uint8)
-    for row in made.groupBy("part").applyInPandas(united, "part int, bits binary").collect():
-        own = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-        bits[row["part"] << 16 : (row["part"] << 16) + len(own)] = own
-    return keys.sparkSession.sparkContext.broadcast(bits)
-
-
-def _hot(counts: DataFrame, digits: list[str]) -> tuple[DataFrame, int]:
-    """The digits with more than a HOT-th of all rows of counts (digits, n), HOT at most, marked for broadcast; and the
-    greatest n of the others."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    most = max(LEAST_HOT, total // HOT)
-    return F.broadcast(counts.where(F.col("n") > most).select(*digits)), most
-
-
 def _counted(df: DataFrame, digits: list[str], *more, name: str) -> DataFrame:
     return common.materialize(df.groupBy(*digits).agg(F.count(F.lit(1)).alias("n"), *more).where("n > 1"), name)
 
 
 def _repeated(df: DataFrame, counts: DataFrame, digits: list[str]) -> DataFrame:
-    """The rows of df whose digits are in counts (digits, n > 1): hot ones by a broadcast, the others by a join in which
-    no key has many rows."""
-    hot, most = _hot(counts, digits)
-    cold = df.join(hot, digits, "left_anti").join(counts.where(F.col("n") <= most).select(*digits).hint("merge"), digits, "left_semi")
-    return df.join(hot, digits, "left_semi").unionByName(cold)
+    """The rows of df whose digits are in counts (digits, n > 1)."""
+    return common.join_counted(df, counts.select(*digits, "n"), digits).drop("n")
 
 
 def _with_spans(texts: DataFrame, found: DataFrame, others: bool) -> DataFrame:
     """texts joined with found (of_doc, of_text and others); rows without any only if others. Only texts that a filter
     passes are shuffled."""
-    wanted = _filter(found.select(F.xxhash64("of_doc", "of_text").alias("key")))
-
-    @F.pandas_udf("boolean")
-    def passes(key: pd.Series) -> pd.Series:
-        return pd.Series(_passes(wanted.value, key.to_numpy(np.int64)))
-
+    passing = common.passing(common.bit_filter(found.select(F.xxhash64("of_doc", "of_text").alias("key"))), F.xxhash64("doc_id", "text_hash"))
     same = texts["doc_id"].eqNullSafe(found["of_doc"]) & (texts["text_hash"] == found["of_text"])
-    passing = passes(F.xxhash64("doc_id", "text_hash"))
     joined = texts.where(passing).join(found.hint("merge"), same, "left" if others else "inner").drop("of_doc", "of_text")
     return joined.unionByName(texts.where(~passing), allowMissingColumns=True) if others else joined
 
@@ -365,8 +303,8 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     n = common.partitions(docs)
     grams = texts.select("data").mapInPandas(_gram_rows(threshold, gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     grams = common.materialize(grams, "grams")
-    alive = common.materialize(texts.mapInPandas(_anchor_rows(threshold, gram, _filter(grams.select("gram"))), ANCHORS), "anchors")
-    hot, _ = _hot(grams, ["gram"])
+    alive = common.materialize(texts.mapInPandas(_anchor_rows(threshold, gram, common.bit_filter(grams.select("gram"))), ANCHORS), "anchors")
+    hot, _ = common.hot_keys(grams, ["gram"])
     # second digit: equal surroundings. Cold grams meet whole; one shuffle serves all windows
     around = ["gram", "low", "high", "around"]
     cold = alive.join(hot, "gram", "left_anti").repartition(n, "gram")

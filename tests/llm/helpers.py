@@ -71,6 +71,29 @@ def components(items, linked):
     return {i: find(i) for i in items}
 
 
+def first_of_near_copies(pairs):
+    """Of each group of texts linked by a similarity of 0.8 of five-word shingles, the text with the smallest id, ids last
+    that are null; as a Counter of (id, text)."""
+    least = {}
+    for i, t in pairs:
+        key = (i is None, i if i is not None else 0)
+        least[t or ""] = min(key, least.get(t or "", (True, 1)))
+    sets = {}
+    for t in least:
+        words = WORD.findall(lower(t))
+        sets[t] = {tuple(words[a : a + 5]) for a in range(max(1, len(words) - 4))} if words else set()
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    groups = defaultdict(list)
+    for t, root in components(sorted(least), similar).items():
+        groups[root].append((least[t], t))
+    first = []
+    for members in groups.values():
+        key, t = min(members)
+        tied = [x for k, x in members if k == key]
+        first.append((None if key[0] else key[1], t if len(tied) == 1 else None))
+    return Counter(first)
+
+
 def repeats(pairs, threshold):
     """(doc_id, n_bytes, n_removed, n_spans, sha256) of each (doc_id, text)."""
     data = [(i, (t or "").encode()) for i, t in pairs]

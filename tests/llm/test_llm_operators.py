@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers as h
 
-from quartzframe.llm import common, html_extract, license_scan, mixing, packing, pii, quality_model, quality_rules, simhash, suffix_dedup, topk
+from quartzframe.llm import common, html_extract, license_scan, mixing, near_copies, packing, pii, quality_model, quality_rules, simhash, suffix_dedup, topk
 from quartzframe.llm.queries import tokenizer_path
 from quartzframe.llm.tokens import WordTokenizer
 
@@ -503,11 +503,11 @@ def test_simhash(docs, sample, spark):
         want = Counter((r["doc_id"], f"{h.fingerprint(r['text']):016x}", min(ids[linked[h.fingerprint(r["text"])]], default=None)) for r in rows)
         got = simhash.near_duplicates(df).select("doc_id", "fingerprint", "component_id")
         assert Counter(map(tuple, got.collect())) == want
-        stay = simhash.one_of_each(df)
-        assert stay.columns == df.columns and stay.count() == len({linked[f] for f in fps})
-    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
+        stay = near_copies.one_of_each(df)
+        assert stay.columns == df.columns and Counter((r["doc_id"], r["text"] or "") for r in stay.collect()) == h.first_of_near_copies((r["doc_id"], r["text"]) for r in rows)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and near_copies.one_of_each(docs.limit(0)).count() == 0
     clashing = docs.withColumns({c: F.lit(7) for c in ("kept_rows", "kept_id", "doc", "d", "root", "first", "new_text", "takes", "take", "of", "boilerplate_lines", "n_words", "text_key")})
-    for stage in (simhash.one_of_each, quality_rules.cleaned, lambda d: pii.replaced(d, "k"), mixing.mixed_documents):
+    for stage in (near_copies.one_of_each, quality_rules.cleaned, lambda d: pii.replaced(d, "k"), mixing.mixed_documents):
         out = stage(clashing)
         assert out.columns == clashing.columns and out.count() > 0 and out.where("d <> 7").count() == 0
 
@@ -516,11 +516,33 @@ def test_one_of_each_without_usable_ids(spark):
     unlike = [h.prose(600 + i, 60) for i in range(6)]
     made = [(None, unlike[0]), (None, unlike[1]), (None, unlike[2]), (None, unlike[2]), (7, unlike[3]), (7, unlike[4]), (7, unlike[4]), (8, unlike[5]), (None, unlike[5]), (None, None), (None, "")]
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
-    got = [tuple(r) for r in simhash.one_of_each(df).collect()]
+    got = [tuple(r) for r in near_copies.one_of_each(df).collect()]
     assert sorted(r[1] or "" for r in got) == sorted(["", *unlike])
     assert Counter(r[0] for r in got) == {None: 4, 7: 2, 8: 1} and (8, unlike[5]) in got
 
 
+def test_near_copies_of_edited_texts(spark):
+    """Texts of 0.8 to 0.95 similarity, long and short, in chains and around a hub; others of less than 0.8 stay."""
+    rng = random.Random(18)
+
+    def edited(text, share):
+        words = text.split()
+        for _ in range(int(share * len(words))):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = []
+    for g in range(12):
+        base = h.prose(7000 + g, 30 + 60 * g)
+        texts += [base] + [edited(base, share) for share in (0.005, 0.01, 0.015, 0.02, 0.03, 0.08)]
+    hub = h.prose(7100, 400)
+    texts += [hub + f" end{i} of{i}" for i in range(60)] + [hub] * 30
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(5)
+    got = near_copies.one_of_each(df)
+    want = h.first_of_near_copies(enumerate(texts))
+    assert got.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
 def test_links_are_complete(spark):
     rng = random.Random(8)
     centers = [rng.getrandbits(64) for _ in range(40)]
@@ -553,13 +575,8 @@ def test_pipeline_follows_its_stages(spark, tokens, tmp_path):
     kept = {r["doc_id"]: r["text"] for r in seen[1].collect()}
     texts = {r["doc_id"]: r["text"] for r in source.collect()}
     assert set(kept) <= {i for i, t in texts.items() if not h.quality(t)[5]}
-    fps = {i: h.fingerprint(t) for i, t in kept.items()}
-    linked = h.components(sorted(set(fps.values())), lambda a, b: bin(a ^ b).count("1") <= 2)
-    least = {}
-    for i in sorted(kept):
-        least.setdefault(linked[fps[i]], i)
-    assert {r["doc_id"] for r in seen[2].collect()} == set(least.values())
-    assert {r["doc_id"] for r in seen[3].collect()} == set(least.values())
+    least = {i for i, _ in h.first_of_near_copies(kept.items())}
+    assert {r["doc_id"] for r in seen[2].collect()} == {r["doc_id"] for r in seen[3].collect()} == least
     assert not [r for r in seen[3].where(F.col("text").rlike(r"[a-z]\.[0-9]{2}@mail[0-9]\.example\.com")).collect() if r["text"] == kept[r["doc_id"]]]
     mixed = seen[4].collect()
     whole = {r["doc_id"]: r["text"] for r in seen[3].collect()}
