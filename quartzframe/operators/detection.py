@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzframe.functions.scalars import fixed, stem_of
+from quartzframe.plans import tables
 
 COCO_THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 COCO = "images array<struct<id:bigint,file_name:string,width:int,height:int>>, annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>>>, categories array<struct<id:int,name:string>>"
@@ -57,11 +58,13 @@ def average_precision(truth: DataFrame, predictions: DataFrame, thresholds=(0.5,
 
     For each ground truth the first prediction by score that reaches the threshold is a hit; a prediction's best truth
     is its only one. Recall grows at hits only, so the area is the sum of the precision envelope over hits."""
-    matched = best_matches(truth, predictions)
+    matched = tables.materialize(best_matches(truth, predictions), "matches")
     each = F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))
     rows = matched.select("*", each.alias("threshold")).withColumn("reached", F.coalesce(F.col("iou") >= F.col("threshold"), F.lit(False)))
-    first = F.row_number().over(Window.partitionBy("threshold", "gt_id", "reached").orderBy(F.desc("score"), "pred_id"))
-    rows = rows.withColumn("tp", (F.col("reached") & (first == 1)).cast("int"))
+    # of those that reach it only: the others have no ground truth in common
+    first = F.row_number().over(Window.partitionBy("threshold", "gt_id").orderBy(F.desc("score"), "pred_id"))
+    hits = rows.where("reached").withColumn("tp", (first == 1).cast("int"))
+    rows = hits.unionByName(rows.where("NOT reached").withColumn("tp", F.lit(0)))
     order = Window.partitionBy("threshold", "class_id").orderBy(F.desc("score"), "pred_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("precision", F.sum("tp").over(upto) / F.count(F.lit(1)).over(upto))
@@ -99,20 +102,41 @@ def select_boxes(predictions: DataFrame, threshold: float = 0.0, most: int = 0)
     return rows.where(F.col("place") <= most) if most else rows
 
 
-def streak_submission(sample: DataFrame, predictions: DataFrame, order=("class", "conf", "x", "y", "w", "h"), threshold: float = 0.0, most: int = 0) -> DataFrame:
-    """image_id, prediction, n_boxes for every image of the sample: its boxes in one string, best first, '' without any.
-    Scores have six digits, other numbers two."""
-    if sorted(order) != sorted(("class", "conf", "x", "y", "w", "h")):
-        raise ValueError(f"not an order of the box fields: {order}")
-    text = {"class": F.col("class_id").cast("int").cast("string"), "conf": fixed(F.col("score"), 6)} | {c: fixed(F.col(c), 2) for c in "xywh"}
-    boxes = select_boxes(predictions, threshold, most).select("image_id", F.struct("place", F.concat_ws(" ", *(text[f] for f in order)).alias("box")).alias("b"))
-    per = boxes.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["box"]), " ").alias("prediction"), F.count(F.lit(1)).alias("n_boxes"))
-    joined = sample.select("image_id").join(per, "image_id", "left")
-    return joined.select("image_id", F.coalesce("prediction", F.lit("")).alias("prediction"), F.coalesce("n_boxes", F.lit(0)).cast("long").alias("n_boxes"))
+#: The fields of a box in a submission, in their usual order.
+BOX_FIELDS = ("conf", "x", "y", "w", "h")
+
+
+def _submitted(predictions: DataFrame, threshold: float, most: int) -> DataFrame:
+    """The boxes to submit; an image is known by its file's stem."""
+    return select_boxes(predictions.withColumn("image_id", stem_of(F.col("image_id"))), threshold, most)
+
+
+def streak_submission(sample: DataFrame, predictions: DataFrame, order=BOX_FIELDS, threshold: float = 0.0, most: int = 0) -> DataFrame:
+    """image_id, prediction, n_boxes for every row of the sample: its boxes in one string, best first, '' without any.
+    sample: image_id, and line if its order matters (then the result has it, too). Scores have six digits, others two."""
+    if sorted(order) != sorted(BOX_FIELDS):
+        raise ValueError(f"not an order of the box fields {BOX_FIELDS}: {order}")
+    text = {"conf": fixed(F.col("score"), 6)} | {c: fixed(F.col(c), 2) for c in "xywh"}
+    boxes = _submitted(predictions, threshold, most).select("image_id", F.struct("place", F.concat_ws(" ", *(text[f] for f in order)).alias("box")).alias("b"))
+    per = boxes.groupBy(F.col("image_id").alias("stem")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["box"]), " ").alias("prediction"), F.count(F.lit(1)).alias("n_boxes"))
+    place = ["line"] if "line" in sample.columns else []
+    joined = sample.select(*place, "image_id").join(per, stem_of(F.col("image_id")) == F.col("stem"), "left")
+    return joined.select(*place, "image_id", F.coalesce("prediction", F.lit("")).alias("prediction"), F.coalesce("n_boxes", F.lit(0)).cast("long").alias("n_boxes"))
+
+
+def streak_manifest(sample: DataFrame, predictions: DataFrame, order=BOX_FIELDS, threshold: float = 0.0, most: int = 0) -> DataFrame:
+    """One row: images of the sample, with and without boxes, predicted ones that it lacks, a warning if boxes are sparse."""
+    made = streak_submission(sample, predictions, order, threshold, most)
+    row = made.agg(F.count(F.lit(1)).alias("n_images"), F.count_if(F.col("n_boxes") > 0).alias("n_with_detections"))
+    row = row.withColumn("n_empty", F.col("n_images") - F.col("n_with_detections")).join(foreign_images(sample, predictions), F.lit(True))
+    sparse = F.when(F.col("n_with_detections") == 0, "no image has a box").when(F.col("n_with_detections") < 0.05 * F.col("n_images"), "few images have boxes").otherwise("")
+    return row.withColumns({"warning": sparse, "box_order": F.lit(",".join(order))})
 
 
 def foreign_images(sample: DataFrame, predictions: DataFrame) -> DataFrame:
-    return predictions.join(sample.select("image_id"), "image_id", "left_anti").agg(F.count_distinct("image_id").alias("n_foreign"))
+    """n_foreign: predicted images that the sample lacks."""
+    stems = predictions.select(stem_of(F.col("image_id")).alias("stem")).distinct()
+    return stems.join(sample.select(stem_of(F.col("image_id")).alias("stem")), "stem", "left_anti").agg(F.count(F.lit(1)).alias("n_foreign"))
 
 
 def coco_results(predictions: DataFrame, classes: DataFrame | None = None, threshold: float = 0.0, most: int = 0) -> DataFrame:

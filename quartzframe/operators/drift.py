@@ -91,7 +91,7 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, columns: list[str], max_ca
 
 
 def ks(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, ks_d, n_ref, n_cur: the largest gap between the two distribution functions. Values are counted first."""
+    """feature, ks_d, ks_p, n_ref, n_cur: the largest gap between the two distribution functions. Values are counted first."""
     melted = _melt(ref, cur, columns, numeric_value, "value").where("value IS NOT NULL")
     counts = melted.groupBy("feature", "value").agg(F.count_if(F.col("side") == "ref").alias("e"), F.count_if(F.col("side") == "cur").alias("a"))
     n = max(1, int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -102,7 +102,17 @@ def ks(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
     local = Window.partitionBy("range_no", "feature").orderBy("value")
     running = ranges.withColumns({"re": F.sum("e").over(local), "ra": F.sum("a").over(local)}).join(offsets, ["feature", "range_no"])
     gap = F.abs((F.col("before_se") + F.col("re")) / F.col("all_se") - (F.col("before_sa") + F.col("ra")) / F.col("all_sa"))
-    return running.groupBy("feature").agg(F.max(gap).alias("ks_d"), F.max("all_se").alias("n_ref"), F.max("all_sa").alias("n_cur")).where("n_ref > 0 AND n_cur > 0")
+    found = running.groupBy("feature").agg(F.max(gap).alias("ks_d"), F.max("all_se").alias("n_ref"), F.max("all_sa").alias("n_cur")).where("n_ref > 0 AND n_cur > 0")
+    return found.withColumn("ks_p", ks_p(F.col("ks_d"), F.col("n_ref"), F.col("n_cur")))
+
+
+def ks_p(d: Column, n: Column, m: Column) -> Column:
+    """The probability of so large a gap by chance: Kolmogorov's limit with Stephens' correction for finite samples."""
+    root = F.sqrt(n * m / (n + m))
+    scaled = d * (root + 0.12 + 0.11 / root)
+    term = lambda j: F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * j * j * scaled * scaled)
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, j: acc + term(j))
+    return F.when(scaled < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * total)))
 
 
 def column_kinds(ref: DataFrame, columns: list[str]) -> dict[str, str]:
@@ -135,11 +145,32 @@ def summary(rows: DataFrame) -> DataFrame:
     top = F.max_by("feature", F.struct("psi", F.col("feature")))
     return rows.agg(
         F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("band") == "major").alias("n_major"), F.count_if(F.col("band") == "moderate").alias("n_moderate"),
-        F.element_at(F.array(F.lit("none"), F.lit("moderate"), F.lit("major")), level + 1).alias("overall"), top.alias("top_feature"), F.max("psi").alias("top_psi"),
+        F.element_at(F.array(F.lit("stable"), F.lit("moderate shift"), F.lit("major shift")), level + 1).alias("overall"), top.alias("top_feature"), F.max("psi").alias("top_psi"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("low_n"), F.col("feature")))), ",").alias("low_n_features"),
     )
 
 
+def frame_summary(ref: DataFrame, cur: DataFrame, target: str | None = None, prediction: str | None = None, **settings) -> DataFrame:
+    """summary of the shared features without target and prediction, whose own drift stands in columns; features that
+    have too few distinct values for a row; the target if a side lacks it; rows and columns of both sides."""
+    shared = [c for c in ref.columns if c in cur.columns]
+    special = [c for c in (target, prediction) if c in shared]
+    rows = tables.materialize(report(ref, cur, shared, **settings), "drift-report")
+    features = sorted(set(shared) - set(special))
+    psi_of = lambda c, name: F.max(F.when(F.col("feature") == c, F.col("psi"))).alias(name) if c in special else F.lit(None).cast("double").alias(name)
+    more = rows.agg(
+        psi_of(target, "target_psi"), psi_of(prediction, "prediction_psi"),
+        F.array_join(F.array_except(F.array(*map(F.lit, features)) if features else F.array().cast("array<string>"), F.collect_set("feature")), ",").alias("skipped_features"),
+        F.lit(target if target and target not in shared else None).cast("string").alias("missing_target"),
+    )
+    sizes = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in ((ref, "n_ref"), (cur, "n_cur"))]
+    only = [F.lit(",".join(c for c in a.columns if c not in b.columns)).alias(n) for a, b, n in ((ref, cur, "ref_only"), (cur, ref, "cur_only"))]
+    out = summary(rows.where(~F.col("feature").isin(*special)) if special else rows)
+    for one_row in (more, *sizes):
+        out = out.join(one_row, F.lit(True))
+    return out.select("*", *only)
+
+
 def schema_diff(ref: DataFrame, cur: DataFrame) -> DataFrame:
     """column, side: columns that only one side has, in its order."""
     rows = [(c, "reference only") for c in ref.columns if c not in cur.columns] + [(c, "current only") for c in cur.columns if c not in ref.columns]

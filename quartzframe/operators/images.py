@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Patterns that propose a group key from a file name.
-GROUP_PATTERNS = (r"(.*)_[^_]+$", r"(.*?)_", r"(\D*\d+)", r"(.*?)[._-]?\d+$")
+GROUP_PATTERNS = (r"^(.*)_[^_]+$", r"^(.*?)_", r"^(\D*\d+)", r"^(.*?)[._-]?\d+$")
 
 
 def orientations(side: int) -> list[list[int]]:
@@ -55,7 +55,7 @@ def reliability(hashed: DataFrame, hash_column: str) -> DataFrame:
 def group_candidates(items: DataFrame, item: str) -> DataFrame:
     """pattern, n_groups, matched, n, useful for each pattern that matches at all: useful if it matches nearly all items
     and makes more than one group and fewer than items."""
-    keys = F.array(*(F.struct(F.lit(i).alias("pattern_no"), F.lit(p).alias("pattern"), F.nullif(F.regexp_extract(item, f"^(?:{p})", 1), F.lit("")).alias("key")) for i, p in enumerate(GROUP_PATTERNS)))
+    keys = F.array(*(F.struct(F.lit(i).alias("pattern_no"), F.lit(p).alias("pattern"), F.nullif(F.regexp_extract(item, p, 1), F.lit("")).alias("key")) for i, p in enumerate(GROUP_PATTERNS)))
     rows = items.select(F.explode(keys).alias("k")).select("k.*").groupBy("pattern_no", "pattern", "key").agg(F.count(F.lit(1)).alias("m"))
     out = rows.groupBy("pattern_no", "pattern").agg(F.count("key").alias("n_groups"), F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("m"))), F.lit(0)).alias("matched"), F.sum("m").alias("n"))
     useful = (F.col("matched") >= 0.95 * F.col("n")) & (F.col("n_groups") > 1) & (F.col("n_groups") < F.col("n"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzframe.plans import tables
@@ -12,6 +15,10 @@ START, K = 1500.0, 24.0
 FORFEITS = ("TIMEOUT", "INVALID", "ERROR")
 
 
+#: The hypothesis that follows from a recommendation.
+FOLLOWS = {"scripted_sufficient": "weigh_rl_cost", "iterate_heuristic_or_search": "iterate_or_search", "weak_vs_random_fix_first": "fix_heuristic_first"}
+
+
 def outcomes(log: DataFrame, forfeit_is_loss: bool = False) -> DataFrame:
     """log with outcome: unknown without a reward, loss below the best of the match, draw if tied for it, else win."""
     w = Window.partitionBy("match_id")
@@ -58,30 +65,42 @@ def profile(log: DataFrame) -> DataFrame:
         F.min_by("opponent", F.struct("share", "opponent")).alias("weakest"), F.min("share").alias("weakest_share"),
         F.max_by("opponent", F.struct("share", "opponent")).alias("strongest"), F.max("share").alias("strongest_share"),
     )
-    joined = per.join(rates(log).select("agent", "invalid_rate"), "agent")
-    flags = F.array(F.when(F.col("invalid_rate") > 0, "fix_legality_first"), F.when(F.col("weakest_share") < 0.45, "target_weak_matchup"), F.lit("iterate_or_search"))
-    return joined.withColumn("hypotheses", F.array_join(F.filter(flags, lambda x: x.isNotNull()), ","))
+    joined = per.join(recommendation(rates(log)).select("agent", "invalid_rate", "recommendation"), "agent")
+    then = F.create_map(*(F.lit(x) for pair in FOLLOWS.items() for x in pair))
+    flags = F.array(F.when(F.col("invalid_rate") > 0, "fix_legality_first"), F.when(F.col("weakest_share") < 0.45, "target_weak_matchup"), F.try_element_at(then, F.col("recommendation")))
+    found = F.filter(flags, lambda x: x.isNotNull())
+    return joined.withColumn("hypotheses", F.when(F.size(found) == 0, "iterate").otherwise(F.array_join(found, ","))).drop("recommendation")
 
 
 def elo(log: DataFrame, ladder: str | None = None, k: float = K, start: float = START) -> DataFrame:
     """[ladder,] agent, rating after all matches in order of seq: every pair of a match plays one update from the ratings
-    that the earlier pairs left. A ladder is a sequence by nature and one task; ladders run side by side."""
-    keys = [ladder] if ladder else []
-    rewarded = log.where("reward IS NOT NULL").groupBy(*keys, "match_id").agg(F.min("seq").alias("seq"), F.sort_array(F.collect_list(F.struct("slot", "agent", "reward"))).alias("players"))
-    pairs = rewarded.select(*keys, "seq", "match_id", F.posexplode("players").alias("i", "a"), "players").select(*keys, "seq", "match_id", "i", "a", F.posexplode("players").alias("j", "b")).where("i < j AND a.agent <> b.agent")
+    that the earlier pairs left. A ladder is a sequence by nature: its games are sorted (which can spill) and read once
+    by one task that holds its agents' ratings only; ladders run side by side."""
+    key = F.col(ladder).cast("string") if ladder else F.lit("")
+    rewarded = log.where("reward IS NOT NULL").groupBy(key.alias("ladder"), "match_id").agg(F.min("seq").alias("seq"), F.sort_array(F.collect_list(F.struct("slot", "agent", "reward"))).alias("players"))
+    pairs = rewarded.select("ladder", "seq", "match_id", F.posexplode("players").alias("i", "a"), "players").select("ladder", "seq", "match_id", "i", "a", F.posexplode("players").alias("j", "b")).where("i < j AND a.agent <> b.agent")
     score = F.when(F.col("a.reward") > F.col("b.reward"), 1.0).when(F.col("a.reward") < F.col("b.reward"), 0.0).otherwise(0.5)
-    games = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "match_id", "i", "j", F.col("a.agent").alias("a"), F.col("b.agent").alias("b"), score.alias("s")))).alias("games"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-
-    def step(ratings: Column, g: Column) -> Column:
-        ra, rb = (F.coalesce(F.element_at(ratings, g[c]), F.lit(start)) for c in ("a", "b"))
-        gain = k * (g["s"] - 1 / (1 + F.pow(F.lit(10.0), (rb - ra) / 400)))
-        others = F.map_filter(ratings, lambda n, _: (n != g["a"]) & (n != g["b"]))
-        return F.map_concat(others, F.map_from_arrays(F.array(g["a"], g["b"]), F.array(ra + gain, rb - gain)))
-
-    rated = games.select(*keys, F.explode(F.aggregate("games", empty, step)).alias("agent", "rating"))
-    pool = log.select(*keys, "agent").distinct()
-    return pool.join(rated, [*keys, "agent"], "left").select(*keys, "agent", F.coalesce("rating", F.lit(start)).alias("rating"))
+    games = pairs.select("ladder", "seq", "match_id", "i", "j", F.col("a.agent").alias("a"), F.col("b.agent").alias("b"), score.alias("s"))
+    games = games.repartition("ladder").sortWithinPartitions("ladder", "seq", "match_id", "i", "j").select("ladder", "a", "b", "s")
+
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ratings = None, {}
+        result = lambda: pd.DataFrame([(now, a, r) for a, r in ratings.items()], columns=["ladder", "agent", "rating"])
+        for batch in batches:
+            for name, a, b, s in zip(batch["ladder"], batch["a"], batch["b"], batch["s"], strict=True):
+                if name != now:
+                    yield result()
+                    now, ratings = name, {}
+                ra, rb = ratings.get(a, start), ratings.get(b, start)
+                gain = k * (s - 1 / (1 + 10 ** ((rb - ra) / 400)))
+                ratings[a], ratings[b] = ra + gain, rb - gain
+        yield result()
+
+    rated = games.mapInPandas(play, "ladder string, agent string, rating double").toDF("_of", "_rated", "rating")
+    keys = [ladder] if ladder else []
+    pool = log.select(*keys, key.alias("_ladder"), "agent").distinct()
+    joined = pool.join(rated, F.col("_ladder").eqNullSafe(F.col("_of")) & (F.col("agent") == F.col("_rated")), "left")
+    return joined.select(*(pool[c] for c in keys), "agent", F.coalesce("rating", F.lit(start)).alias("rating"))
 
 
 def lineups(agents: DataFrame, matches: int, seed: int = 42) -> DataFrame:

@@ -46,7 +46,7 @@ _MATCHES = """m AS (
   SELECT o_orderkey AS seq, 'm' || o_orderkey AS match_id, slot, 'agent' || CASE slot WHEN 0 THEN o_custkey % 4 ELSE (o_custkey % 4 + 1 + o_orderkey % 3) % 4 END AS agent,
          (CASE slot WHEN 0 THEN floor(o_totalprice)::BIGINT % 3 ELSE floor(o_totalprice)::BIGINT % 5 % 3 END)::DOUBLE AS reward,
          CASE WHEN o_orderkey % 97 = 0 THEN 'TIMEOUT' ELSE 'DONE' END AS status
-  FROM orders CROSS JOIN (SELECT unnest([0, 1])::INT AS slot) WHERE o_orderkey <= 1500),
+  FROM orders CROSS JOIN (SELECT unnest([0, 1])::INT AS slot)),
 mo AS (
   SELECT *, CASE WHEN reward IS NULL THEN 'unknown' WHEN reward < best THEN 'loss' WHEN count(*) FILTER (reward = best) OVER (PARTITION BY match_id) > 1 THEN 'draw' ELSE 'win' END AS outcome
   FROM (SELECT *, max(reward) OVER (PARTITION BY match_id) AS best FROM m)),
@@ -58,11 +58,11 @@ wr AS (
   SELECT agent, count(*) AS played, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'draw') AS draws, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (status = 'TIMEOUT') AS invalid
   FROM mo GROUP BY 1)"""
 
-_SUBMISSION = """e AS (SELECT o_orderkey AS line, 'o' || o_orderkey AS id, '0.5' AS prediction, 'a' AS note FROM orders WHERE o_orderkey <= 1500),
+_SUBMISSION = """e AS (SELECT o_orderkey AS line, 'o' || o_orderkey AS id, '0.5' AS prediction, 'a' AS note FROM orders),
 s AS (
   SELECT o_orderkey AS line, CASE WHEN o_orderkey % 211 = 0 THEN 'o' || (o_orderkey - 1) WHEN o_orderkey % 223 = 0 THEN 'z' || o_orderkey ELSE 'o' || o_orderkey END AS id,
          CASE WHEN o_orderkey % 101 = 0 THEN 'nan' WHEN o_orderkey % 103 = 0 THEN 'high' WHEN o_orderkey % 107 = 0 THEN '1_000' ELSE round(o_totalprice, 2)::VARCHAR END AS prediction, 'a' AS note
-  FROM orders WHERE o_orderkey <= 1500 AND o_orderkey % 199 <> 0),
+  FROM orders WHERE o_orderkey % 199 <> 0),
 cells AS (SELECT 'prediction' AS "column", prediction AS cell FROM s UNION ALL SELECT 'note', note FROM s),
 kinds AS (SELECT "column", cell, CASE WHEN cell IN ('', 'nan', 'NaN', 'NA', 'null', 'None') THEN 'missing' WHEN regexp_full_match(cell, '[0-9_]+([.][0-9]*)?([eE][-+]?[0-9]+)?') THEN 'number' ELSE 'text' END AS kind FROM cells),
 cols AS (
@@ -91,7 +91,7 @@ def _numeric_psi(features: dict[str, str], ref: str, cur: str) -> str:
     """A subquery fp(feature, psi, n_bins) for numeric features: name to expression; ref and cur are FROM clauses."""
     melt = lambda side: " UNION ALL ".join(f"SELECT '{f}' AS feature, ({e})::DOUBLE AS v FROM {side}" for f, e in features.items())
     return f"""r AS ({melt(ref)}), c AS ({melt(cur)}),
-ed AS (SELECT feature, list_sort(list_distinct(list_transform(quantile_cont(v, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]), lambda x: round(x, 9)))) AS es FROM r GROUP BY 1),
+ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS es FROM r GROUP BY 1),
 ine AS (SELECT feature, list_slice(es, 2, len(es) - 1) AS es FROM ed WHERE len(es) >= 3),
 b AS (
   SELECT feature, bin, sum(e)::DOUBLE AS e, sum(a)::DOUBLE AS a FROM (
@@ -160,7 +160,7 @@ def _slices_clf() -> str:
     return f"""WITH {_CLF},
 top AS (SELECT feature, v FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, v) AS r FROM (
   SELECT 'lang' AS feature, lang AS v, count(*) AS n FROM p GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM p GROUP BY 2)) WHERE r <= 12),
-q AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(y_score, [0, .2, .4, .6, .8, 1]), lambda x: round(x, 9)))) AS es FROM p),
+q AS (SELECT list_sort(list_distinct(quantile_cont(y_score, [0, .2, .4, .6, .8, 1]))) AS es FROM p),
 sl AS (
   SELECT y_true, y_pred, x.feature, coalesce(top.v, '(other)') AS grp FROM (SELECT y_true, y_pred, 'lang' AS feature, lang AS v FROM p UNION ALL SELECT y_true, y_pred, 'source', source FROM p) x LEFT JOIN top ON x.feature = top.feature AND x.v = top.v
   UNION ALL SELECT y_true, y_pred, 'n_chars', 'q' || (len(list_filter(list_slice(es, 2, len(es) - 1), lambda x: x < y_score)) + 1) FROM p CROSS JOIN q),
@@ -170,7 +170,7 @@ SELECT feature, grp AS "group", sum(support)::BIGINT AS n, round(avg(f1), 6) AS
 
 def _slices_reg() -> str:
     return f"""WITH {_REG},
-q AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(l_quantity, [0, .2, .4, .6, .8, 1]), lambda x: round(x, 9)))) AS es FROM r),
+q AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0, .2, .4, .6, .8, 1]))) AS es FROM r),
 t AS (SELECT l_discount AS v FROM r GROUP BY 1 ORDER BY count(*) DESC, v::VARCHAR LIMIT 12),
 sl AS (
   SELECT y_true, y_pred, 'l_returnflag' AS feature, l_returnflag AS grp FROM r
@@ -184,7 +184,7 @@ def _grid_hash(positions: list[int]) -> str:
 
 
 def _windowed() -> str:
-    return f"""WITH q AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(value, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]), lambda x: round(x, 9)))) AS es FROM {_EREF}),
+    return f"""WITH q AS (SELECT list_sort(list_distinct(quantile_cont(value, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS es FROM {_EREF}),
 bins AS (SELECT unnest(range(-1, len(es) - 1)) AS bin FROM q),
 f AS (SELECT CASE WHEN value IS NULL THEN -1 ELSE len(list_filter(list_slice(es, 2, len(es) - 1), lambda x: x < value)) END AS bin FROM (SELECT * FROM {_EREF}) CROSS JOIN q),
 e AS (SELECT bin, (SELECT count(*) FROM f WHERE f.bin = bins.bin) AS e FROM bins),
@@ -198,7 +198,7 @@ SELECT window_start::TIMESTAMP AS window_start, n, round(sum((sa - se) * ln(sa /
 def _candidates() -> str:
     rows = "(SELECT 'seq' || (user_id % 20) || '_frame_' || event_id AS stem FROM events)"
     one = lambda i, p: f"""SELECT {i} AS pattern_no, '{p}' AS pattern, count(DISTINCT k) AS n_groups, count(k) AS matched, count(*) AS n FROM (
-      SELECT nullif(regexp_extract(stem, '^(?:{p})', 1), '') AS k FROM {rows})"""
+      SELECT nullif(regexp_extract(stem, '{p}', 1), '') AS k FROM {rows})"""
     every = " UNION ALL ".join(one(i, p) for i, p in enumerate(images.GROUP_PATTERNS))
     return f"SELECT *, matched >= 0.95 * n AND n_groups > 1 AND n_groups < n AS useful FROM ({every}) WHERE matched > 0"
 
@@ -210,7 +210,7 @@ def _competition() -> str:
     return f"""WITH f AS (
   SELECT o_orderkey AS id, 'c' || o_orderkey AS name, CASE WHEN o_orderkey % 7 = 0 THEN 'elsewhere' ELSE 'kaggle' END AS platform, CASE WHEN o_orderkey % 5 = 0 THEN 'cv-detection' ELSE 'tabular' END AS track,
          CASE WHEN o_orderkey % 11 <> 0 THEN 'auc' END AS metric, 'maximize' AS direction, CASE WHEN o_orderkey % 13 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS deadline,
-         (o_orderkey % 3 <> 0)::VARCHAR AS accepted, ' ' AS scheme FROM orders WHERE o_orderkey <= 60),
+         (o_orderkey % 3 <> 0)::VARCHAR AS accepted, ' ' AS scheme FROM orders),
 g AS (
   SELECT id, CASE track WHEN 'tabular' THEN 'model-builder' ELSE 'cv-modeler' END AS pipeline, date_diff('day', DATE '1998-01-01', try_cast(deadline AS DATE))::INT AS days_left,
          array_to_string(list_filter([{missing}, CASE WHEN accepted = 'false' THEN 'rules.rules_accepted' END], lambda x: x IS NOT NULL), ',') AS missing_required,
@@ -235,6 +235,13 @@ p AS (SELECT pipeline, sum(w * CASE s WHEN 'PASS' THEN 1.0 WHEN 'PARTIAL' THEN 0
 SELECT *, round(points / most, 6) AS fraction, CASE WHEN points / most >= 0.8 THEN 'strong' WHEN points / most >= 0.5 THEN 'partial' ELSE 'weak' END AS label FROM p"""
 
 
+#: A sample submission of file names; and the best four boxes of an image as conf x y w h.
+_SAMPLE = """i AS (SELECT line, stem || '.png' AS image_id, stem FROM (
+  SELECT DISTINCT o_orderkey // 30 AS line, 'im' || (o_orderkey // 30) AS stem FROM orders WHERE o_orderkey // 30 % 9 <> 0
+  UNION ALL SELECT DISTINCT -(o_orderkey // 30) - 1, 'none' || (o_orderkey // 30) FROM orders WHERE o_orderkey // 30 % 9 <> 0))"""
+_STREAK = """t AS (SELECT image_id, r, printf('%.6f %.2f %.2f %.2f %.2f', score, x, y, w, h) AS s FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred_id) AS r FROM p WHERE score >= 0.2) WHERE r <= 4)"""
+
+
 def _elo() -> str:
     return f"""WITH RECURSIVE {_MATCHES},
 games AS (
@@ -260,11 +267,18 @@ def sql() -> dict[str, str]:
         "drift_categorical_psi_tvd": f"WITH {_categorical_psi({'event_type': 'event_type', 'user_id': 'user_id'}, _EREF, _ECUR)} SELECT feature, round(psi, 6) AS psi, n_bins, round(tvd, 6) AS tvd, round(unseen_share, 6) AS unseen_share FROM cp",
         "drift_all_features": f"WITH {_REPORT} SELECT * FROM rep",
         "drift_summary": f"""WITH {_REPORT} SELECT count(*) AS n_features, count(*) FILTER (band = 'major') AS n_major, count(*) FILTER (band = 'moderate') AS n_moderate,
-          CASE max(CASE band WHEN 'major' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END) WHEN 2 THEN 'major' WHEN 1 THEN 'moderate' ELSE 'none' END AS overall, arg_max(feature, psi) AS top_feature, max(psi) AS top_psi,
+          CASE max(CASE band WHEN 'major' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END) WHEN 2 THEN 'major shift' WHEN 1 THEN 'moderate shift' ELSE 'stable' END AS overall, arg_max(feature, psi) AS top_feature, max(psi) AS top_psi,
           coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (low_n), '') AS low_n_features FROM rep""",
+        "drift_frame_summary": f"""WITH {_REPORT}, x AS (SELECT * FROM rep WHERE feature NOT IN ('l_returnflag', 'l_linestatus'))
+          SELECT count(*) AS n_features, count(*) FILTER (band = 'major') AS n_major, count(*) FILTER (band = 'moderate') AS n_moderate,
+          CASE max(CASE band WHEN 'major' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END) WHEN 2 THEN 'major shift' WHEN 1 THEN 'moderate shift' ELSE 'stable' END AS overall, arg_max(feature, psi) AS top_feature, max(psi) AS top_psi,
+          coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (low_n), '') AS low_n_features, (SELECT psi FROM rep WHERE feature = 'l_returnflag') AS target_psi, (SELECT psi FROM rep WHERE feature = 'l_linestatus') AS prediction_psi,
+          array_to_string(list_filter(['l_discount', 'l_extendedprice', 'l_linenumber', 'l_quantity', 'l_suppkey', 'l_tax'], lambda f: NOT list_contains(list(feature), f)), ',') AS skipped_features, NULL::VARCHAR AS missing_target,
+          (SELECT count(*) FROM {_LREF}) AS n_ref, (SELECT count(*) FROM {_LCUR}) AS n_cur, '' AS ref_only, '' AS cur_only FROM x""",
         "drift_ks_d": f"""WITH u AS (SELECT value AS v, 1 AS e, 0 AS a FROM {_EREF} UNION ALL SELECT value, 0, 1 FROM {_ECUR}), c AS (SELECT v, sum(e) AS e, sum(a) AS a FROM u WHERE v IS NOT NULL GROUP BY 1),
           f AS (SELECT sum(e) OVER (ORDER BY v) / sum(e) OVER () AS fe, sum(a) OVER (ORDER BY v) / sum(a) OVER () AS fa, sum(e) OVER () AS ne, sum(a) OVER () AS na FROM c)
-          SELECT 'value' AS feature, round(max(abs(fe - fa)), 6) AS ks_d, max(ne)::BIGINT AS n_ref, max(na)::BIGINT AS n_cur FROM f""",
+          , k AS (SELECT max(abs(fe - fa)) AS d, max(ne)::BIGINT AS n, max(na)::BIGINT AS m FROM f), l AS (SELECT *, d * (sqrt(n * m / (n + m)) + 0.12 + 0.11 / sqrt(n * m / (n + m))) AS l FROM k)
+          SELECT 'value' AS feature, round(d, 6) AS ks_d, round(CASE WHEN l < 0.2 THEN 1.0 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * j * j * l * l))))) END::DOUBLE, 6) AS ks_p, n AS n_ref, m AS n_cur FROM l""",
         "drift_windowed_psi": _windowed(),
         "drift_schema_diff": "SELECT * FROM (VALUES ('props', 'reference only'), ('properties', 'current only')) AS t(\"column\", side)",
         "split_random": f"SELECT o_orderkey, split FROM {order_split}",
@@ -287,7 +301,7 @@ def sql() -> dict[str, str]:
         "infer_task": " UNION ALL ".join([_infer("c_mktsegment", "customer", False, False), _infer("c_acctbal", "customer", True, True), _infer("c_nationkey", "customer", False, True), _infer("event_type", "events", False, False), _infer("user_id", "events", False, True)]),
         "fingerprint": """SELECT (SELECT count(*) FROM customer) AS n_rows, 4::INT AS n_features, 1::INT AS n_categorical, (count(DISTINCT c_name) > 50)::INT AS n_high_card, count(DISTINCT c_name) AS max_cardinality, 'classification' AS task,
           count(DISTINCT c_mktsegment) AS n_classes, round((SELECT min(n) / sum(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)), 6) AS minority_frac, (SELECT min(n) / sum(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)) < 0.1 AS imbalanced FROM customer""",
-        "modality_flags": """SELECT "column", round(avg(regexp_matches(lower(v), '\\.(png|jpe?g|gif|bmp|tiff?|webp|wav|mp3|flac|ogg|mp4|avi|mov|mkv)$')::INT), 6) AS media_share, round(avg(len(regexp_extract_all(v, '\\S+'))), 6) AS mean_tokens, round(avg(length(v)), 6) AS mean_length,
+        "modality_flags": """SELECT "column", round(avg(regexp_matches(lower(v), '\\.(png|jpe?g|gif|bmp|tiff?|wav|mp3|flac|mp4|mov|avi|webp)$')::INT), 6) AS media_share, round(avg(len(regexp_extract_all(v, '\\S+'))), 6) AS mean_tokens, round(avg(length(v)), 6) AS mean_length,
           CASE WHEN avg(regexp_matches(lower(v), '\\.(png|jpe?g|gif)$')::INT) > 0.5 THEN 'media' WHEN avg(len(regexp_extract_all(v, '\\S+'))) > 5 OR avg(length(v)) > 50 THEN 'text' ELSE 'none' END AS flag
           FROM (SELECT 'text' AS "column", text AS v FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents) WHERE v IS NOT NULL GROUP BY 1""",
         "model_recommendation": """SELECT 'gradient_boosting' AS family, CASE WHEN count(*) <= 10000 AND count(DISTINCT c_mktsegment) <= 10 THEN 'tabpfn,' ELSE '' END || 'random_forest,regularized_linear,decision_tree' AS alternatives,
@@ -327,11 +341,12 @@ def sql() -> dict[str, str]:
         "det_caveats": f"""WITH {_BOXES}, i AS (SELECT image_id, count(*) AS n, min(score) AS s FROM p GROUP BY 1), r AS (SELECT max(n) AS a, min(s) AS b, count(*) AS c FROM i)
           SELECT a AS max_boxes_per_image, round(b, 6) AS min_confidence, c AS n_images, array_to_string(list_filter([CASE WHEN a > 100 THEN 'over 100 boxes in an image' END, CASE WHEN b < 0.05 THEN 'scores below 0.05' END, 'leaky split'], lambda x: x IS NOT NULL), '; ') AS caveats FROM r""",
         "det_class_map": "SELECT n_nationkey * 3 + 1 AS category_id, n_name AS name, (dense_rank() OVER (ORDER BY n_nationkey) - 1)::INT AS class_id FROM nation",
-        "streak_submission": f"""WITH {_BOXES}, t AS (SELECT image_id, r, class_id || printf(' %.6f %.2f %.2f %.2f %.2f', score, x, y, w, h) AS s FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred_id) AS r FROM p WHERE score >= 0.2) WHERE r <= 4)
-          SELECT i.image_id, coalesce(string_agg(s, ' ' ORDER BY r), '') AS prediction, count(s) AS n_boxes FROM (SELECT 'im' || unnest(range(55)) AS image_id) i LEFT JOIN t USING (image_id) GROUP BY 1""",
-        "streak_foreign_images": f"WITH {_BOXES} SELECT count(DISTINCT image_id) AS n_foreign FROM p WHERE image_id NOT IN (SELECT 'im' || unnest(range(45)))",
+        "streak_submission": f"""WITH {_BOXES}, {_SAMPLE}, {_STREAK} SELECT i.line, i.image_id, coalesce(string_agg(s, ' ' ORDER BY r), '') AS prediction, count(s) AS n_boxes FROM i LEFT JOIN t ON i.stem = t.image_id GROUP BY 1, 2""",
+        "streak_manifest": f"""WITH {_BOXES}, {_SAMPLE}, {_STREAK}, n AS (SELECT count(*) AS n_images, count(*) FILTER (stem IN (SELECT image_id FROM t)) AS n_with_detections, (SELECT count(DISTINCT image_id) FROM p WHERE image_id NOT IN (SELECT stem FROM i)) AS n_foreign FROM i)
+          SELECT n_images, n_with_detections, n_images - n_with_detections AS n_empty, n_foreign, CASE WHEN n_with_detections = 0 THEN 'no image has a box' WHEN n_with_detections < 0.05 * n_images THEN 'few images have boxes' ELSE '' END AS warning, 'conf,x,y,w,h' AS box_order FROM n""",
+        "streak_foreign_images": f"WITH {_BOXES}, {_SAMPLE} SELECT count(DISTINCT image_id) AS n_foreign FROM p WHERE image_id NOT IN (SELECT stem FROM i)",
         "coco_results": f"WITH {_BOXES} SELECT image_id, class_id AS category_id, round(x, 2) AS x, round(y, 2) AS y, round(w, 2) AS w, round(h, 2) AS h, round(score, 6) AS score FROM p WHERE score >= 0.9",
-        "yolo_labels": f"WITH {_BOXES} SELECT image_id, string_agg(class_id || printf(' %.6f %.6f %.6f %.6f', (x + w / 2) / 1000, (y + h / 2) / 800, w / 1000, h / 800), chr(10) ORDER BY gt_id) AS label FROM g WHERE gt_id <= 600 GROUP BY 1",
+        "yolo_labels": f"WITH {_BOXES} SELECT image_id, string_agg(class_id || printf(' %.6f %.6f %.6f %.6f', (x + w / 2) / 1000, (y + h / 2) / 800, w / 1000, h / 800), chr(10) ORDER BY gt_id) AS label FROM g GROUP BY 1",
         "coco_summary": f"""WITH {_BOXES}, i AS (SELECT image_id, count(*) AS n FROM g GROUP BY 1) SELECT count(*) AS n_images, min(n) AS min_boxes, floor(quantile_cont(n, 0.5))::BIGINT AS median_boxes, max(n) AS max_boxes, (SELECT count(*) FROM g) AS n_boxes,
           (SELECT count(*) FROM g WHERE least(w, h) > 0 AND greatest(w, h) >= 5 * least(w, h)) AS n_elongated FROM i""",
         "coco_class_distribution": f"WITH {_BOXES} SELECT class_id, count(*) AS n FROM g GROUP BY 1",
@@ -350,7 +365,7 @@ def sql() -> dict[str, str]:
           (SELECT sum(n_missing) FROM cols)::BIGINT AS n_empty_cells, (SELECT count(*) FROM cols WHERE expects_number AND n_text > 0) AS n_wrong_kind, (SELECT count(*) FROM cols WHERE constant) AS n_constant, 0::BIGINT AS n_ragged, false AS order_differs,
           (SELECT string_agg(id, ',' ORDER BY line) FROM (SELECT * FROM rep ORDER BY line LIMIT 5)) AS repeated""",
         "scalar_functions": """SELECT o_orderkey, o_orderpriority || '.x' AS stem, printf('%.2f', o_totalprice / 8) AS text, nullif(regexp_extract(o_orderpriority, '^(\\d)-', 1), '') AS level, 'b.c/' || o_orderpriority || '.x.' || o_orderkey AS agent,
-          date_diff('day', DATE '1999-01-01', o_orderdate::DATE)::INT AS days FROM orders WHERE o_orderkey <= 200""",
+          date_diff('day', DATE '1999-01-01', o_orderdate::DATE)::INT AS days FROM orders""",
         "match_outcomes": f"WITH {_MATCHES} SELECT match_id, slot, agent, outcome FROM mo",
         "win_rates": f"""WITH {_MATCHES}, r AS (SELECT *, wins / (wins + draws + losses) AS w FROM wr) SELECT agent, played, wins, draws, losses, invalid, round(w, 6) AS win_rate, round(invalid / played, 6) AS invalid_rate, CASE WHEN invalid = 0 THEN 'PASS' ELSE 'FAIL' END AS health,
           CASE WHEN invalid > 0 THEN 'fix_health_first' WHEN w >= 0.65 THEN 'scripted_sufficient' WHEN w >= 0.55 THEN 'iterate_heuristic_or_search' ELSE 'weak_vs_random_fix_first' END AS recommendation FROM r""",
@@ -358,7 +373,8 @@ def sql() -> dict[str, str]:
         "matchup_shares": f"WITH {_MATCHES} SELECT agent, opponent, wins, losses, round(share, 6) AS share FROM ms",
         "ladder_profile": f"""WITH {_MATCHES}, x AS (SELECT agent, arg_min(opponent, share) AS weakest, min(share) AS ws, arg_max(opponent, share) AS strongest, max(share) AS ss FROM (SELECT * FROM ms ORDER BY opponent) GROUP BY 1)
           SELECT agent, weakest, round(ws, 6) AS weakest_share, strongest, round(ss, 6) AS strongest_share, round(invalid / played, 6) AS invalid_rate,
-          array_to_string(list_filter([CASE WHEN invalid > 0 THEN 'fix_legality_first' END, CASE WHEN ws < 0.45 THEN 'target_weak_matchup' END, 'iterate_or_search'], lambda v: v IS NOT NULL), ',') AS hypotheses FROM x JOIN wr USING (agent)""",
+          array_to_string(list_filter([CASE WHEN invalid > 0 THEN 'fix_legality_first' END, CASE WHEN ws < 0.45 THEN 'target_weak_matchup' END, CASE WHEN invalid > 0 THEN NULL WHEN w >= 0.65 THEN 'weigh_rl_cost' WHEN w >= 0.55 THEN 'iterate_or_search' WHEN w IS NOT NULL THEN 'fix_heuristic_first' END,
+            CASE WHEN invalid = 0 AND w IS NULL AND NOT coalesce(ws < 0.45, false) THEN 'iterate' END], lambda v: v IS NOT NULL), ',') AS hypotheses FROM x JOIN (SELECT *, wins / (wins + draws + losses) AS w FROM wr) USING (agent)""",
         "elo_ladder": _elo(),
         "ladder_lineups": f"""WITH {_MATCHES}, a AS (SELECT DISTINCT agent FROM m), g AS (SELECT x.agent AS a, y.agent AS b, unnest(range(1, 6)) AS n FROM a x JOIN a y ON x.agent < y.agent)
           SELECT row_number() OVER (ORDER BY md5('42:' || a || '|' || b || '|' || n)) - 1 AS seq, a, b FROM g""",

@@ -71,7 +71,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 1500")
+    o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     second = (c % 4 + 1 + k % 3) % 4
     price = F.floor(F.col("o_totalprice")).cast("long")
@@ -81,7 +81,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 1500")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     expected = o.select(k.alias("line"), F.concat(F.lit("o"), k.cast("string")).alias("id"), F.lit("0.5").alias("prediction"), F.lit("a").alias("note"))
     cell = F.when(k % 101 == 0, "nan").when(k % 103 == 0, "high").when(k % 107 == 0, "1_000").otherwise(F.round(F.col("o_totalprice"), 2).cast("string"))
@@ -124,6 +124,11 @@ def drift_summary(spark, d):
     return rounded(drift.summary(drift.report(*line_halves(spark, d))))
 
 
+@query
+def drift_frame_summary(spark, d):
+    return rounded(drift.frame_summary(*line_halves(spark, d), target="l_returnflag", prediction="l_linestatus"))
+
+
 @query
 def drift_ks_d(spark, d):
     return rounded(drift.ks(*snapshots(spark, d), ["value"]))
@@ -397,15 +402,27 @@ def det_class_map(spark, d):
 @query
 def streak_submission(spark, d):
     g, p = boxes(spark, d)
-    sample = spark.range(0, 55).select(F.concat(F.lit("im"), F.col("id").cast("string")).alias("image_id"))
-    return detection.streak_submission(sample, p, threshold=0.2, most=4)
+    return detection.streak_submission(sample_images(g), p, threshold=0.2, most=4)
+
+
+@query
+def streak_manifest(spark, d):
+    g, p = boxes(spark, d)
+    return detection.streak_manifest(sample_images(g), p, threshold=0.2, most=4)
+
+
+def sample_images(truth: DataFrame) -> DataFrame:
+    """A sample submission: line and image_id (a file name) of all images but every ninth, and as many without boxes."""
+    n = F.regexp_extract("image_id", r"(\d+)", 1).cast("long")
+    known = truth.select("image_id", n.alias("line")).distinct().where("line % 9 <> 0")
+    empty = known.select(F.concat(F.lit("none"), F.col("line").cast("string")).alias("image_id"), (-F.col("line") - 1).alias("line"))
+    return known.union(empty).select("line", F.concat("image_id", F.lit(".png")).alias("image_id"))
 
 
 @query
 def streak_foreign_images(spark, d):
     g, p = boxes(spark, d)
-    sample = spark.range(0, 45).select(F.concat(F.lit("im"), F.col("id").cast("string")).alias("image_id"))
-    return detection.foreign_images(sample, p)
+    return detection.foreign_images(sample_images(g), p)
 
 
 @query
@@ -417,7 +434,7 @@ def coco_results(spark, d):
 
 @query
 def yolo_labels(spark, d):
-    return detection.yolo_labels(boxes(spark, d)[0].where("gt_id <= 600"))
+    return detection.yolo_labels(boxes(spark, d)[0])
 
 
 @query
@@ -506,7 +523,7 @@ def value_kinds(spark, d):
 
 @query
 def scalar_functions(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey <= 200")
+    o = table(spark, d, "orders")
     path = F.concat(F.lit("a/b.c/"), F.col("o_orderpriority"), F.lit(".x."), F.col("o_orderkey").cast("string"))
     return o.select("o_orderkey", scalars.stem_of(path).alias("stem"), scalars.fixed(F.col("o_totalprice") / 8, 2).alias("text"), scalars.capture(F.col("o_orderpriority"), r"(\d)-").alias("level"), scalars.agent_name(path).alias("agent"), scalars.days_left(F.col("o_orderdate").cast("string"), F.lit("1999-01-01").cast("date")).alias("days"))
 
@@ -554,7 +571,7 @@ def ladder_lineups(spark, d):
 
 @query
 def competition_check(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey <= 60")
+    o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     facts = F.struct(
         F.concat(F.lit("c"), k.cast("string")).alias("name"), F.when(k % 7 == 0, "elsewhere").otherwise("kaggle").alias("platform"), F.when(k % 5 == 0, "cv-detection").otherwise("tabular").alias("track"),

@@ -52,7 +52,7 @@ def with_rank(df: DataFrame, order: list[Column], rank: str = "rank", group: lis
 
 
 def quantiles(values: DataFrame, group: str, value: str, probabilities: list[float]) -> DataFrame:
-    """group, q, edge: exact quantiles with linear interpolation, rounded to nine digits. Nulls and NaN do not count.
+    """group, q, edge: exact quantiles with linear interpolation. Nulls and NaN do not count.
 
     Values are counted, the counts range-sorted and summed up by ranges, and the two values next to each position
     picked; so no task holds a group's values."""
@@ -72,4 +72,4 @@ def quantiles(values: DataFrame, group: str, value: str, probabilities: list[flo
     low, high = F.floor("position"), F.ceil("position")
     at = at.where(inside(low) | inside(high))
     picked = at.groupBy(group, "q").agg(F.max(F.when(inside(low), F.col(value))).alias("a"), F.max(F.when(inside(high), F.col(value))).alias("b"), F.max(F.col("position") - low).alias("t"))
-    return picked.select(group, "q", F.round(F.col("a") + (F.col("b") - F.col("a")) * F.col("t"), 9).alias("edge"))
+    return picked.select(group, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("edge"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +38,14 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return read_delimited(spark, path, "\t" if ending in ("tsv", "tab") else ",", schema)
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",", schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """With a header. Texts that mean missing become null; without a schema, types follow the values that are left."""
-    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", True)
+def read_delimited(spark: SparkSession, path: str, separator: str = ",", schema: str | None = None, encoding: str = "UTF-8", line_breaks: bool | None = None) -> DataFrame:
+    """With a header. Texts that mean missing become null; without a schema, types follow the values that are left.
+    line_breaks: may quoted cells hold some; then a file is one task. By default files are split unless a line has an odd
+    number of quotes."""
+    if line_breaks is None:
+        lines = spark.read.text(path)
+        line_breaks = not lines.where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", line_breaks)
     text = reader.csv(path)
     cleaned = text.select(*(F.when(F.trim(F.col(f"`{c}`")).isin(*NULLS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in text.columns))
     if schema:
@@ -61,10 +72,22 @@ def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """An array of records, one record, or JSON lines."""
+    """An array of records, one record, a dictionary of columns (lists, or dictionaries by row), or JSON lines. Lines are
+    read as such if the first that is not blank is a whole value and others follow."""
     reader = spark.read.schema(schema) if schema else spark.read
+    first = [r[0] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    if len(first) == 2 and spark.createDataFrame([(first[0],)], "v string").where(F.try_parse_json("v").isNotNull()).count():
+        return reader.json(path)
     whole = reader.option("multiLine", True).json(path)
-    return reader.json(path) if whole.columns == ["_corrupt_record"] else whole
+    if schema or not whole.columns or whole.columns == ["_corrupt_record"]:
+        return whole
+    kinds = [f.dataType for f in whole.schema.fields]
+    if all(isinstance(k, T.ArrayType) for k in kinds):
+        return whole.select(F.inline(F.arrays_zip(*(f"`{c}`" for c in whole.columns)))).toDF(*whole.columns)
+    if all(isinstance(k, T.StructType) for k in kinds) and len({tuple(k.names) for k in kinds}) == 1:
+        order = sorted(kinds[0].names, key=lambda n: (not n.isdigit(), int(n) if n.isdigit() else 0, n))
+        return whole.select(F.inline(F.array(*(F.struct(*(F.col(f"`{c}`")[n].alias(c) for c in whole.columns)) for n in order))))
+    return whole
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -73,12 +96,19 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """line (1 is the header) and cells of a delimited text, ragged lines kept as they are; one file, quotes honoured."""
-    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).where("value <> ''")
-    cell = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'
-    quoted, plain = F.regexp_extract_all("value", F.lit(cell), F.lit(1)), F.regexp_extract_all("value", F.lit(cell), F.lit(2))
-    cells = F.zip_with(quoted, plain, lambda q, p: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p))
-    return numbered.select((F.col("at") + 1).cast("long").alias("line"), cells.alias("cells"))
+    """line (1 is the header; lines without text are not counted) and cells of a delimited text, ragged lines kept as they
+    are. Quotes are honoured, also around commas and line breaks, in cells of any length."""
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            for content in batch["content"]:
+                rows = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", errors="replace", newline=""))
+                numbered = enumerate((r for r in rows if r), 1)
+                while part := list(itertools.islice(numbered, 10_000)):
+                    yield pd.DataFrame(part, columns=["line", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, "line long, cells array<string>")
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:

@@ -48,15 +48,23 @@ def coco_document(results: DataFrame) -> DataFrame:
     return results.agg(F.to_json(F.sort_array(F.collect_list(F.struct("image_id", "category_id", "bbox", "score")))).alias("document"))
 
 
-def as_json(df: DataFrame) -> str:
-    """A small result for standard output."""
-    return json.dumps([r.asDict(recursive=True) for r in df.collect()], default=str)
+def _few(df: DataFrame, most: int) -> list:
+    """The rows of a result that must be small."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write the table instead")
+    return rows
 
 
-def as_markdown(df: DataFrame, title: str, most: int = 100) -> str:
-    """A small result as a Markdown table; bars and line breaks in cells are escaped."""
+def as_json(df: DataFrame, most: int = 100_000) -> str:
+    """A small result for standard output; more than most rows are an error."""
+    return json.dumps([r.asDict(recursive=True) for r in _few(df, most)], default=str)
+
+
+def as_markdown(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small result as a Markdown table; bars and line breaks in cells are escaped. More than most rows are an error."""
     cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ") if v is not None else "n/a"
     number = lambda v: f"{v:,.4g}" if isinstance(v, float) else cell(v)
-    rows = df.limit(most).collect()
+    rows = _few(df, most)
     lines = [f"# {title}", "", "| " + " | ".join(map(cell, df.columns)) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(number(v) for v in r) + " |" for r in rows]) + "\n"

@@ -222,6 +222,34 @@ def test_raw_cells_keep_ragged_lines(spark, tmp_path):
     raw = readers.read_cells(spark, str(path))
     assert [(r["line"], r["cells"]) for r in raw.orderBy("line").collect()] == [(1, ["id", "p"]), (2, ["a", "1"]), (3, ["b"]), (4, ["c,d", "2", "3"])]
     assert [r["line"] for r in submission.ragged(raw, 2).orderBy("line").collect()] == [3, 4]
+    path.write_text('id,p\n1,"a\nb"\n2,"' + "x" * 400_000 + '"\n3,"say ""no"""\n')
+    cells = [r["cells"] for r in readers.read_cells(spark, str(path)).orderBy("line").collect()]
+    assert cells == [["id", "p"], ["1", "a\nb"], ["2", "x" * 400_000], ["3", 'say "no"']]
+
+
+def test_box_submission_follows_the_sample(spark):
+    p = spark.createDataFrame([(1, "a.png", 0, 0.5, 1.0, 2.0, 3.0, 4.005), (2, "a.png", 1, 0.75, 5.0, 6.0, 7.0, 8.0), (3, "z", 0, 0.9, 1.0, 1.0, 1.0, 1.0)], "pred_id int, image_id string, class_id int, score double, x double, y double, w double, h double")
+    sample = spark.createDataFrame([(0, "b.x.png"), (1, "a.png"), (2, "a.jpg")], "line int, image_id string")
+    got = detection.streak_submission(sample, p).orderBy("line").collect()
+    box = "0.750000 5.00 6.00 7.00 8.00 0.500000 1.00 2.00 3.00 4.00"
+    assert [(r["image_id"], r["prediction"].replace("4.01", "4.00"), r["n_boxes"]) for r in got] == [("b.x.png", "", 0), ("a.png", box, 2), ("a.jpg", box, 2)]
+    assert detection.streak_submission(sample, p, ("x", "y", "w", "h", "conf"), most=1).where("line = 1").first()["prediction"] == "5.00 6.00 7.00 8.00 0.750000"
+    with pytest.raises(ValueError):
+        detection.streak_submission(sample, p, ("class", "conf", "x", "y", "w", "h"))
+    row = detection.streak_manifest(sample, p).first()
+    assert (row["n_images"], row["n_with_detections"], row["n_empty"], row["n_foreign"], row["warning"]) == (3, 2, 1, 1, "")
+    assert detection.streak_manifest(sample.where("line = 0"), p).first()["warning"] == "no image has a box"
+
+
+def test_tiny_values_stay_in_the_drift_report(spark):
+    ref = spark.range(0, 4000).select((F.col("id") * 1e-13).alias("v"), F.lit(1.5).alias("same"), (F.col("id") % 2).cast("string").alias("t"))
+    cur = spark.range(0, 4000).select((F.col("id") * 3e-13).alias("v"), F.lit(1.5).alias("same"))
+    rows = {r["feature"]: r for r in drift.report(ref, cur).collect()}
+    assert rows["v"]["band"] == "major" and rows["v"]["type"] == "numeric"
+    row = drift.frame_summary(ref, cur, target="t").first()
+    assert (row["missing_target"], row["ref_only"], row["n_ref"], row["overall"], row["top_feature"]) == ("t", "t", 4000, "major shift", "v")
+    found = drift.ks(ref, cur, ["v"]).first()
+    assert found["ks_p"] < 1e-6 and drift.ks(ref, ref, ["v"]).first()["ks_p"] == 1.0
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -232,6 +260,16 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.read_sniffed(spark, str(tmp_path / "b.txt")).first()["n"] == "José"
     (tmp_path / "c.json").write_text('[{"a": 1}, {"a": 2}]')
     assert readers.read_json(spark, str(tmp_path / "c.json")).count() == 2
+    for name, text, want in (
+        ("lines", '{"a": 1, "b": "x"}\n{"a": 2, "b": "y"}\n\n{"a": 3, "b": null}\n', [(1, "x"), (2, "y"), (3, None)]),
+        ("lists", '{"a": [1, 2],\n "b": ["x", "y"]}', [(1, "x"), (2, "y")]),
+        ("dicts", '{"a": {"0": 1, "1": 2, "10": 3}, "b": {"0": "x", "1": "y", "10": null}}', [(1, "x"), (2, "y"), (3, None)]),
+        ("record", '{\n"a": 1,\n"b": "x"}', [(1, "x")]),
+    ):
+        (tmp_path / f"{name}.json").write_text(text)
+        assert [tuple(r) for r in readers.read_table(spark, str(tmp_path / f"{name}.json")).select("a", "b").collect()] == want
+    (tmp_path / "q.csv").write_text('x,y\n1,"a\nb"\n2,c\n')
+    assert [tuple(r) for r in readers.read_table(spark, str(tmp_path / "q.csv")).collect()] == [(1, "a\nb"), (2, "c")]
     (tmp_path / "log.jsonl").write_text('{"run_id": "a", "seed": 1}\n\nbroken\n{"run_id": "b"}\n')
     assert governance.experiment_log(spark, str(tmp_path / "log.jsonl")).count() == 2
     (tmp_path / "p.csv").write_text("image_id,class_id,score,x,y,w,h\ni,3.0,0.5,1,2,3,4\n")
