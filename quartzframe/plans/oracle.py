@@ -243,19 +243,18 @@ _STREAK = """t AS (SELECT image_id, r, printf('%.6f %.2f %.2f %.2f %.2f', score,
 
 
 def _elo() -> str:
-    return f"""WITH RECURSIVE {_MATCHES},
+    rating = lambda who: f"CASE g.{who} {' '.join(f"WHEN 'agent{i}' THEN f.r{i}" for i in range(4))} END"
+    gain = f"(24 * (g.s - 1 / (1 + pow(10, ({rating('b')} - {rating('a')}) / 400))))"
+    row = lambda value: "{'a': '', 'b': '', 's': 0.0::DOUBLE, " + ", ".join(f"'r{i}': {value(i)}" for i in range(4)) + "}"
+    start = row(lambda i: "1500.0::DOUBLE")
+    step = row(lambda i: f"f.r{i} + CASE 'agent{i}' WHEN g.a THEN {gain} WHEN g.b THEN -{gain} ELSE 0 END")
+    return f"""WITH {_MATCHES},
 games AS (
-  SELECT row_number() OVER (ORDER BY a.seq) AS n, a.agent AS a, b.agent AS b, CASE WHEN a.reward > b.reward THEN 1.0 WHEN a.reward < b.reward THEN 0.0 ELSE 0.5 END::DOUBLE AS s
+  SELECT a.seq, a.agent AS a, b.agent AS b, CASE WHEN a.reward > b.reward THEN 1.0 WHEN a.reward < b.reward THEN 0.0 ELSE 0.5 END::DOUBLE AS s
   FROM m a JOIN m b ON a.match_id = b.match_id AND a.slot = 0 AND b.slot = 1 WHERE a.agent <> b.agent),
 fold AS (
-  SELECT 0::BIGINT AS n, 1500.0::DOUBLE AS agent0, 1500.0::DOUBLE AS agent1, 1500.0::DOUBLE AS agent2, 1500.0::DOUBLE AS agent3
-  UNION ALL
-  SELECT n, {", ".join(f"agent{i} + CASE 'agent{i}' WHEN a THEN d WHEN b THEN -d ELSE 0 END" for i in range(4))} FROM (
-    SELECT g.n, f.agent0, f.agent1, f.agent2, f.agent3, g.a, g.b,
-           24 * (g.s - 1 / (1 + pow(10, (CASE g.b {" ".join(f"WHEN 'agent{i}' THEN f.agent{i}" for i in range(4))} END - CASE g.a {" ".join(f"WHEN 'agent{i}' THEN f.agent{i}" for i in range(4))} END) / 400))) AS d
-    FROM fold f JOIN games g ON g.n = f.n + 1)),
-last AS (SELECT * FROM fold ORDER BY n DESC LIMIT 1)
-{" UNION ALL ".join(f"SELECT 'agent{i}' AS agent, round(agent{i}, 6) AS rating FROM last" for i in range(4))}"""
+  SELECT list_reduce(list({{'a': a, 'b': b, 's': s, 'r0': 0.0::DOUBLE, 'r1': 0.0::DOUBLE, 'r2': 0.0::DOUBLE, 'r3': 0.0::DOUBLE}} ORDER BY seq), lambda f, g: {step}, {start}) AS last FROM games)
+{" UNION ALL ".join(f"SELECT 'agent{i}' AS agent, round(last.r{i}, 6) AS rating FROM fold" for i in range(4))}"""
 
 
 def sql() -> dict[str, str]:
