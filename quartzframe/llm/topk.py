@@ -1,20 +1,23 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-Vectors lie in blocks; a cell is a block of queries with a block of candidates. A score is the sum of two partial
-scores, over the first and the second half of the components.
+A score is the sum of two partial scores, over the first and the second half of the components. Vectors lie in full
+blocks, numbered without gaps whatever the input's files, and each half of a block is a row of its own. A list is the
+partial scores of one half; a task holds the lists of a block of queries over one half of a block of candidates.
 
-1. Every cell gathers, for each query, the best entries of both partial score lists, resolves their whole scores and
-   sends the k best. The k-th best of all that was sent is a safe cutoff: k candidates reach it.
-2. The cutoffs go to all cells of their query block. A candidate at or above cutoff has a partial score of at least
-   cutoff / 2, so these entries suffice; all others are dropped unseen.
-3. The remaining scores are resolved exactly, those below the cutoff dropped, and of a cell's ties only the k best can
-   count. A ranking over what is left ends it.
+1. Every task gathers, for each query, the k best entries of its list; these are merged to the k best of each whole
+   list. The whole scores of these 2 k entries are resolved, and the k-th best is a safe cutoff: k candidates reach it.
+2. The cutoffs go to all tasks. A candidate at or above the cutoff has a partial score of at least cutoff / 2, so the
+   entries from there on suffice: they are sent, all others stay where they are.
+3. Entries that both lists have sent are summed. Those that one has sent are resolved exactly, from the vectors of that
+   query and candidate only. What reaches the cutoff is ranked, of a block's ties the k best only.
 
-A block with a query block is one task's input whatever the table's size; cells spread over the cluster.
+A block with a query block is one task's input whatever the table's size; tasks spread over the cluster. Entries travel
+packed, a row for a list.
 
 Rows: vectors that are null, or hold null or non-finite components, take no part. Shorter vectors count as padded with
 zeros. A null vec_id is no query and ranks last among ties. Repeated rows are candidates each; only the query's own
-row is left out. A query without candidates gives no rows; so does an empty table.
+row is left out. A query without candidates gives no rows; so does an empty table. Scores beyond a long count as its
+limits. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ from quartzframe.llm import common
 K = 20
 SCALE = 64
 PARTS = 2
-BLOCK = 4096
-#: Queries of a cell that are scored at once.
+BLOCK, QUERY_BLOCK = 2048, 1024
+#: Queries of a task that are scored at once.
 CHUNK = 256
 #: Gathered lists that are merged in one step.
 FAN_IN = 64
@@ -64,147 +66,190 @@ def _below(score) -> float:
     return float(score) if isinstance(score, float) else math.nextafter(float(score), -math.inf)
 
 
-def _blocks(rows: DataFrame, dim: int) -> DataFrame:
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, made, ids, vectors = TaskContext.get().partitionId(), 0, [], []
+def _numbered(rows: DataFrame, size: int) -> DataFrame:
+    """rows with block and at: places without gaps, in full blocks. Only counts of partitions meet."""
+    kept = common.materialize(rows.withColumn("part", F.spark_partition_id()).withColumn("local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    counts = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = common.materialize(counts.select("part", before.alias("before")), "offsets")  # a row for a task
+    place = F.col("before") + F.col("local")
+    return kept.join(offsets, "part").select("*", F.call_function("div", place, F.lit(size).cast("long")).alias("block"), (place % size).cast("int").alias("at")).drop("part", "local", "before")
 
-        def block() -> pd.DataFrame:
-            data = np.zeros((len(vectors), dim), np.int64)
-            for row, v in zip(data, vectors, strict=True):
-                row[: len(v)] = v
-            number = (task << 32) + made
-            return pd.DataFrame({"block": [number], "n": [len(ids)], "ids": [np.array(ids, np.int64).tobytes()], "data": [data.tobytes()]})
 
-        for batch in batches:
-            for i, v in zip(batch["vec_id"].fillna(_NO_ID).astype(np.int64), batch["v"], strict=True):
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == BLOCK:
-                    yield block()
-                    made, ids, vectors = made + 1, [], []
-        if ids:
-            yield block()
+def _packed(data: np.ndarray) -> tuple[str, bytes]:
+    most = int(max(abs(int(data.max(initial=0))), abs(int(data.min(initial=0)))))
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+    return kind, data.astype(kind).tobytes()
 
-    return common.ship(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v")).mapInPandas(pack, "block long, n int, ids binary, data binary")
 
+def _blocks(rows: DataFrame, dim: int, size: int) -> DataFrame:
+    """block, part, ids (of the vectors), rows (of the table), kind and data: a row for each half of each block. rows:
+    vec_id, row_id, v."""
 
-def _query_blocks(blocks: DataFrame, dim: int, divisor: int) -> DataFrame:
-    """The queries of each block, with the block and the place in it of each one's own row."""
+    def pack(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("at")
+        data = np.zeros((len(batch), dim), np.int64)
+        for row, v in zip(data, batch["v"], strict=True):
+            row[: len(v)] = v
+        ids = batch["vec_id"].fillna(_NO_ID).astype(np.int64).to_numpy().tobytes()
+        halves = [_packed(h) for h in (data[:, : dim // PARTS], data[:, dim // PARTS :])]
+        return pd.DataFrame([(batch["block"].iloc[0], i, ids, batch["row_id"].to_numpy(np.int64).tobytes(), *h) for i, h in enumerate(halves)], columns=["block", "part", "ids", "rows", "kind", "data"])
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for b in batch.itertuples():
-                ids = np.frombuffer(b.ids, np.int64)
-                at = np.flatnonzero((ids != _NO_ID) & (ids % divisor == 0))
-                if len(at):
-                    data = np.frombuffer(b.data, np.int64).reshape(-1, dim)[at]
-                    yield pd.DataFrame({"q_block": [b.block], "q_at": [at.astype(np.int64).tobytes()], "q_ids": [ids[at].tobytes()], "q_data": [data.tobytes()]})
+    return common.ship(_numbered(rows, size)).groupBy("block").applyInPandas(pack, "block long, part int, ids binary, rows binary, kind string, data binary")
 
-    return blocks.mapInPandas(pick, "q_block long, q_at binary, q_ids binary, q_data binary")
 
+def _half(kind: str, data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(n, -1).astype(np.int64)
 
-class _Cell:
-    """Partial scores of a chunk of queries against a block of candidates."""
 
-    def __init__(self, row, dim: int):
+class _Lists:
+    """Partial scores of one half: a block of queries over a block of candidates."""
+
+    def __init__(self, row):
         self.row = row
-        self.ids = np.frombuffer(row.ids, np.int64)
-        both = _exact(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, dim) for x in (row.q_data, row.data)]))
-        self.q_at, self.q_ids = np.frombuffer(row.q_at, np.int64), np.frombuffer(row.q_ids, np.int64)
-        self.q, self.v = both[: len(self.q_ids)], both[len(self.q_ids) :]
-        self.halves = [slice(0, dim // PARTS), slice(dim // PARTS, dim)]
+        self.q_rows, self.rows = np.frombuffer(row.q_rows, np.int64), np.frombuffer(row.rows, np.int64)
+        both = _exact(np.concatenate([_half(row.q_kind, row.q_data, len(self.q_rows)), _half(row.kind, row.data, len(self.rows))]))
+        self.q, self.v = both[: len(self.q_rows)], both[len(self.q_rows) :]
         self.low = -np.inf if both.dtype != object else -(1 << 200)
+        order = np.argsort(self.rows)
+        place = np.minimum(np.searchsorted(self.rows[order], self.q_rows), len(order) - 1)
+        self.own = np.where(self.rows[order][place] == self.q_rows, order[place], -1)
 
     def chunks(self):
-        """First query, partial scores of its chunk."""
+        """First query and partial scores of its chunk; least at a query's own row."""
         for at in range(0, len(self.q), CHUNK):
-            q = self.q[at : at + CHUNK]
-            parts = [q[:, h] @ self.v[:, h].T for h in self.halves]
-            if self.row.q_block == self.row.block:
-                for i, own in enumerate(self.q_at[at : at + CHUNK]):
-                    for p in parts:
-                        p[i, own] = self.low
-            yield at, parts
+            scores = self.q[at : at + CHUNK] @ self.v.T
+            own = self.own[at : at + CHUNK]
+            scores[np.flatnonzero(own >= 0), own[own >= 0]] = self.low
+            yield at, scores
 
 
-def _gather(dim: int, k: int):
+def _gather(k: int):
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                cell = _Cell(row, dim)
-                n = min(k, len(cell.ids))
-                where, scores = [], []
-                for at, parts in cell.chunks():
-                    top = [np.argpartition(-p, n - 1, axis=1)[:, :n] for p in parts]
-                    idx = np.sort(np.concatenate(top, axis=1), axis=1)
-                    whole = sum(np.take_along_axis(p, idx, axis=1) for p in parts)
-                    whole[:, 1:][idx[:, 1:] == idx[:, :-1]] = cell.low
-                    whole = -np.sort(-whole, axis=1)[:, :n]
-                    where += range(at, at + len(whole))
-                    scores += [[_below(x) for x in _saturated(w[w > cell.low]).tolist()] for w in whole]
-                yield pd.DataFrame({"q_block": row.q_block, "q_at": cell.q_at[where], "part": row.block % FAN_IN, "scores": scores})
+                lists = _Lists(row)
+                n = min(k, len(lists.rows))
+                for first, scores in lists.chunks():
+                    top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                    found = [[{"score": _below(float(scores[i, j])), "block": row.block, "at": int(j)} for j in js if scores[i, j] > lists.low] for i, js in enumerate(top)]
+                    yield pd.DataFrame({"q_block": row.q_block, "q_at": np.arange(first, first + len(found), dtype=np.int32), "part": row.part, "fan": row.block % FAN_IN, "entries": found})
 
     return best
 
 
-def _resolve(dim: int, k: int):
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a list sends: the places of its entries from half the cutoff on, and their partial scores if these are exact
+    as doubles."""
+    for batch in batches:
+        for row in batch.itertuples():
+            lists, found = _Lists(row), []
+            cut = np.full(len(lists.q), -np.inf)
+            cut[np.asarray(row.cut_at, np.int64)] = row.cutoffs
+            for first, scores in lists.chunks():
+                q, v = np.nonzero((scores >= cut[first : first + len(scores), None] / PARTS) & (scores > lists.low))
+                found.append((q + first, v, scores[q, v]))
+            q, v, partial = (np.concatenate(x) for x in zip(*found, strict=True))
+            sums = np.full(len(q), np.nan) if partial.dtype == object else partial
+            yield pd.DataFrame({"q_block": [row.q_block], "block": [row.block], "part": [row.part], "q": [q.astype("<i4").tobytes()], "v": [v.astype("<i4").tobytes()], "partial": [sums.astype("<f8").tobytes()]})
+
+
+def _whole_scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, candidates and whole scores of the entries of a block (sent: one or two lists of them)."""
+    sent = [(np.frombuffer(x["q"], "<i4"), np.frombuffer(x["v"], "<i4"), np.frombuffer(x["partial"], "<f8")) for x in row.sent]
+    n_q, n = len(row.q_ids) // 8, len(row.ids) // 8
+    key = np.concatenate([q.astype(np.int64) * n + v for q, v, _ in sent])
+    partial = np.concatenate([p for _, _, p in sent])
+    pair, at, count = np.unique(key, return_inverse=True, return_counts=True)
+    total = np.bincount(at, partial, minlength=len(pair))
+    q, v = pair // n, pair % n
+    open_ = np.flatnonzero((count < PARTS) | np.isnan(total))
+    if not len(open_):
+        return q, v, total
+    qs, vs = (np.concatenate([_half(x["kind"], x["data"], m) for x in sorted(halves, key=lambda x: x["part"])], axis=1) for halves, m in ((row.q_halves, n_q), (row.halves, n)))
+    both = _exact(np.concatenate([qs, vs]))
+    qs, vs = both[:n_q], both[n_q:]
+    total = total.astype(both.dtype)
+    for a in range(0, len(open_), 65536):
+        some = open_[a : a + 65536]
+        total[some] = (qs[q[some]] * vs[v[some]]).sum(axis=1)
+    return q, v, _saturated(total)
+
+
+def _resolve(k: int, ranked: bool):
+    """Whole scores of sent entries. Of ties at a block's k-th place the k best by vec_id are enough."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                cell = _Cell(row, dim)
-                cutoffs = dict(zip(row.cut_at, row.cutoffs, strict=True))
-                cut = np.array([cutoffs.get(i, -np.inf) for i in cell.q_at.tolist()])
-                for at, parts in cell.chunks():
-                    c = cut[at : at + CHUNK, None]
-                    enough = (parts[0] >= c / PARTS) | (parts[1] >= c / PARTS)
-                    qi, vi = np.nonzero(enough)
-                    whole = sum(p[qi, vi] for p in parts)
-                    other = whole > cell.low
-                    qi, vi, whole = qi[other], vi[other], _saturated(whole[other])
-                    keep = whole >= c[qi, 0]
-                    qi, vi, whole = qi[keep], vi[keep], whole[keep]
-                    ids = cell.ids[vi]
-                    order = np.lexsort((ids, ids == _NO_ID, -whole, qi))
-                    qi, ids, whole = qi[order], ids[order], whole[order]
-                    nth = np.arange(len(qi)) - np.searchsorted(qi, qi)
-                    qi, ids, whole = qi[nth < k], ids[nth < k], whole[nth < k]
-                    vec = pd.array(ids, dtype="Int64")
-                    vec[ids == _NO_ID] = pd.NA
-                    yield pd.DataFrame({"q_block": row.q_block, "q_at": cell.q_at[at + qi], "query_id": cell.q_ids[at + qi], "vec_id": vec, "score": np.array(list(map(int, whole)), np.int64)})
-
-    return entries
+                q, v, total = _whole_scores(row)
+                if not ranked:
+                    yield pd.DataFrame({"q_block": row.q_block, "q_at": q.astype(np.int32), "score": [_below(x) for x in total.tolist()]})
+                    continue
+                cut = np.full(len(row.q_ids) // 8, -np.inf)
+                cut[np.asarray(row.cut_at, np.int64)] = row.cutoffs
+                keep = np.flatnonzero(total >= cut[q])
+                q, total, ids = q[keep], total[keep], np.frombuffer(row.ids, np.int64)[v[keep]]
+                order = np.lexsort((ids, ids == _NO_ID, -total, q))
+                q, total, ids = q[order], total[order], ids[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                q, total, ids = q[nth < k], total[nth < k], ids[nth < k]
+                vec = pd.array(ids, dtype="Int64")
+                vec[ids == _NO_ID] = pd.NA
+                yield pd.DataFrame({"q_block": row.q_block, "q_at": q.astype(np.int32), "query_id": np.frombuffer(row.q_ids, np.int64)[q], "vec_id": vec, "score": np.array(list(map(int, total)), np.int64)})
+
+    return rows
 
 
 def top_k(vectors: DataFrame, k: int = K, divisor: int = 20, scale: int = SCALE) -> DataFrame:
     """vectors: vec_id, embedding. query_id, rank, vec_id and score of the k best candidates of each row whose vec_id is
     divisible by divisor."""
-    rows = vectors.select("vec_id", scaled(F.col("embedding"), scale).alias("v")).where(F.col("v").isNotNull())
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding"), scale).alias("v")).where(F.col("v").isNotNull())
+    rows = common.materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "vectors")
     dim = max(PARTS, rows.agg(F.max(F.size("v"))).first()[0] or 0)
-    blocks = common.materialize(_blocks(rows, dim), "vector-blocks")
-    queries = common.materialize(_query_blocks(blocks, dim, divisor), "query-blocks")
-    cells = _cells(blocks, queries)
-    sent = cells.mapInPandas(_gather(dim, k), "q_block long, q_at long, part long, scores array<double>")
+    blocks = common.materialize(_blocks(rows, dim, BLOCK), "vector-blocks")
+    queries = common.materialize(_blocks(rows.where(F.col("vec_id") % divisor == 0), dim, QUERY_BLOCK), "query-blocks")
+    lists = _cells(blocks, queries)
+    # 1: the best entries of each list, their whole scores, a safe cutoff
+    entry = "array<struct<score:double,block:long,at:int>>"
+    sent = lists.mapInPandas(_gather(k), f"q_block long, q_at int, part int, fan long, entries {entry}")
     merged = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c)), asc=False), 1, k)
-    lists = sent.groupBy("q_block", "q_at", "part").agg(merged("scores").alias("scores")).groupBy("q_block", "q_at").agg(merged("scores").alias("scores"))
-    cutoff = F.coalesce(F.get("scores", F.lit(k - 1)), F.lit(float("-inf")))
-    cutoffs = lists.groupBy("q_block").agg(F.collect_list(F.struct("q_at", cutoff.alias("cutoff"))).alias("c"))
-    cutoffs = common.materialize(cutoffs.select("q_block", F.col("c.q_at").alias("cut_at"), F.col("c.cutoff").alias("cutoffs")), "cutoffs")
-    found = cells.join(cutoffs, "q_block").mapInPandas(_resolve(dim, k), "q_block long, q_at long, query_id long, vec_id long, score long")
+    best = sent.groupBy("q_block", "q_at", "part", "fan").agg(merged("entries").alias("entries")).groupBy("q_block", "q_at", "part").agg(merged("entries").alias("entries"))
+    best = best.select("q_block", "q_at", F.explode("entries").alias("e")).select("q_block", "q_at", "e.block", "e.at").distinct()
+    pairs = common.ship(best).groupBy("q_block", "block").applyInPandas(_pack_places, "q_block long, block long, q binary, v binary, partial binary")
+    scores = _with_vectors(pairs, blocks, queries).mapInPandas(_resolve(k, False), "q_block long, q_at int, score double")
+    kth = scores.groupBy("q_block", "q_at").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("cutoff"))  # of 2 k scores
+    cutoffs = kth.where("cutoff IS NOT NULL").groupBy(F.col("q_block").alias("of")).agg(F.collect_list(F.struct("q_at", "cutoff")).alias("c"))
+    cutoffs = common.materialize(cutoffs.select("of", F.col("c.q_at").alias("cut_at"), F.col("c.cutoff").alias("cutoffs")), "cutoffs")
+    # 2: entries from half the cutoff on
+    with_cutoffs = lambda df: df.join(cutoffs, F.col("q_block") == F.col("of"), "left").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("cut_at", "array<int>"), ("cutoffs", "array<double>"))}).drop("of")
+    enough = common.materialize(with_cutoffs(lists).mapInPandas(_entries, "q_block long, block long, part int, q binary, v binary, partial binary"), "entries")
+    # 3: whole scores
+    found = with_cutoffs(_with_vectors(enough.where(F.length("q") > 0), blocks, queries)).mapInPandas(_resolve(k, True), "q_block long, q_at int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("q_block", "q_at").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _pack_places(batch: pd.DataFrame) -> pd.DataFrame:
+    """The places of one pair of blocks as one row of entries without partial scores."""
+    none = np.full(len(batch), np.nan).astype("<f8").tobytes()
+    return pd.DataFrame({"q_block": batch["q_block"].iloc[:1], "block": batch["block"].iloc[:1], "q": [batch["q_at"].to_numpy("<i4").tobytes()], "v": [batch["at"].to_numpy("<i4").tobytes()], "partial": [none]})
+
+
+def _with_vectors(entries: DataFrame, blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """A row for each pair of blocks with entries: the lists sent, ids and both halves of both sides."""
+    sent = entries.groupBy("q_block", "block").agg(F.collect_list(F.struct("q", "v", "partial")).alias("sent"))
+    halves = lambda df, name: df.groupBy("block").agg(F.first("ids").alias("ids"), F.collect_list(F.struct("part", "kind", "data")).alias(name))
+    of_queries = halves(queries, "q_halves").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), "q_halves")
+    return sent.join(halves(blocks, "halves").hint("merge"), "block").join(of_queries.hint("merge"), "q_block")
+
+
 def _cells(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query block with every candidate block: a stated query set against all rows, in blocks. Both sides are
-    numbered without gaps, repeated for the other's numbers, and meet by the pair."""
-
-    def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        numbers = df.select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias(f"{name}_no"))
-        return df.join(numbers, name), df.count()
-
-    left, n_left = numbered(queries, "q_block")
-    right, n_right = numbered(blocks, "block")
-    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>"))
-    left = left.withColumn("block_no", up_to(n_right))
-    right = right.withColumn("q_block_no", up_to(n_left))
-    return left.join(right.hint("shuffle_hash"), ["q_block_no", "block_no"]).drop("q_block_no", "block_no")
+    """Every query block with every candidate block, half by half: a stated query set against all rows, in blocks. Both
+    sides are repeated for the other's numbers, and meet by the pair."""
+    count = lambda df: df.agg(F.max("block")).first()[0]
+    n, n_q = (0 if (m := count(df)) is None else m + 1 for df in (blocks, queries))
+    up_to = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")) if m else F.array().cast("array<long>"))
+    left = queries.select(F.col("block").alias("q_block"), "part", F.col("rows").alias("q_rows"), F.col("kind").alias("q_kind"), F.col("data").alias("q_data"), up_to(n).alias("block"))
+    right = blocks.select("block", "part", "rows", "kind", "data", up_to(n_q).alias("q_block"))
+    return left.join(right.hint("merge"), ["q_block", "block", "part"])
