@@ -76,12 +76,29 @@ def hot_keys(counts: DataFrame, keys: list[str], least: int = 0) -> tuple[DataFr
     return F.broadcast(counts.where(F.col("n") > most).select(*keys)), most
 
 
-def join_counted(df: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    """df joined with counts (keys, n and others; each key once): hot ones by a broadcast, the others by a join in which
-    no key has many rows."""
+def join_counted(df: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df joined (inner or left) with counts (keys, n and others; each key once): hot ones by a broadcast, the others by a
+    join in which no key has many rows."""
     hot, most = hot_keys(counts, keys)
     many = F.broadcast(counts.where(F.col("n") > most))
-    return df.join(many, keys).unionByName(df.join(hot, keys, "left_anti").join(counts.where(F.col("n") <= most).hint("merge"), keys))
+    return df.join(many, keys).unionByName(df.join(hot, keys, "left_anti").join(counts.where(F.col("n") <= most).hint("merge"), keys, how))
+
+
+#: Bits in one part of a native filter: what bitmap_construct_agg makes.
+PART_BITS = 32_768
+
+
+def join_filtered(df: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """As join_counted, for wide rows: only those are shuffled that a filter of FILTER_BITS bits lets pass. The filter saves
+    work and decides nothing; it is broadcast, FILTER_BITS / 8 bytes whatever the table. DataFrame expressions only."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS).cast("long"))
+    part, place = F.call_function("div", at, F.lit(PART_BITS).cast("long")), at % PART_BITS
+    bits = counts.select(part.alias("_part"), place.alias("_place")).groupBy("_part").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    bits = materialize(bits, "filter")
+    byte = F.conv(F.hex(F.substring("_bits", (F.call_function("div", place, F.lit(8).cast("long")) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    marked = df.withColumn("_part", part).join(F.broadcast(bits), "_part", "left").withColumn("_passes", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("_part", "_bits")
+    joined = join_counted(marked.where("_passes"), counts, keys, how).drop("_passes", "n")
+    return joined.unionByName(marked.where("NOT _passes").drop("_passes"), allowMissingColumns=True) if how == "left" else joined
 
 
 def _bit(key: np.ndarray, n_bits: int) -> np.ndarray:

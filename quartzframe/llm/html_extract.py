@@ -12,9 +12,10 @@ Names decide alone where counts cannot: parts that no article has by their tag o
 says nothing but adverts, comments, menus and the like. Names that may mean content, too ("related", "notice"), decide
 only on hosts with fewer than ``least_pages`` different pages, and only for boxes.
 
-Which elements of a page go is gathered by host and page. That list is broadcast while it is within a checked bound;
-beyond it pages are joined by their key. Counting has partial sums, so a host with a third of all pages, all with one
-menu, is one row a task.
+Which elements of a page go is gathered by host and page, and pages meet that by a join where only rows that a filter of
+a fixed size lets pass are shuffled (``common.join_filtered``). Subtrees meet the templates likewise, hot ones by a
+broadcast of at most ten thousand. Counting has partial sums, so a host with a third of all pages, all with one menu, is
+one row a task.
 
 Rows: a null html is an empty page with empty text. A null url is a host of its own. Repeated rows give a row each. A
 null page_id is kept. Pages are parsed whole, whatever their nesting. An empty table gives no rows. Extra columns are
@@ -37,8 +38,6 @@ from quartzframe.llm import common
 
 LEAST_PAGES = 10
 ARTICLE_PAGES = 20
-#: Elements to remove, with their pages, up to which they are broadcast (at most about 100 bytes each).
-BROADCAST_PLACES = 500_000
 #: Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -279,21 +278,25 @@ def counted_subtrees(pages: DataFrame) -> DataFrame:
 
 
 def templates(found: DataFrame, least_pages: int = LEAST_PAGES, article_pages: int = ARTICLE_PAGES) -> DataFrame:
-    """host, subtree, in_article and n_pages: the subtrees that are their host's template; found: as counted_subtrees
-    gives them."""
-    once = found.groupBy("host", "subtree", "in_article", "page").agg(F.lit(1).alias("one"))
-    counts = once.groupBy("host", "subtree", "in_article").agg(F.count(F.lit(1)).alias("n_pages"))
+    """host, subtree, in_article, n (rows of found) and n_pages: the subtrees that are their host's template; found: as
+    counted_subtrees gives them."""
+    once = found.groupBy("host", "subtree", "in_article", "page").agg(F.count(F.lit(1)).alias("rows"))
+    counts = once.groupBy("host", "subtree", "in_article").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("n_pages"))
     return counts.where(F.col("n_pages") >= F.when(F.col("in_article"), article_pages).otherwise(least_pages))
 
 
 def removed(found: DataFrame, least_pages: int = LEAST_PAGES, article_pages: int = ARTICLE_PAGES) -> DataFrame:
-    """of_host, of_key, of_size and without (numbers of elements) of the pages that lose some."""
-    recurring = found.join(templates(found, least_pages, article_pages).drop("n_pages"), ["host", "subtree", "in_article"], "left_semi")
+    """host, page_key, page_size, without (numbers of elements) and n (rows) of the pages that lose some."""
+    known = common.materialize(templates(found, least_pages, article_pages).drop("n_pages"), "templates")
+    recurring = common.join_counted(found, known, ["host", "subtree", "in_article"]).drop("n")
     unsure = found.where("perhaps")
-    large = found.join(unsure.select("host").distinct(), "host", "left_semi").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    named = unsure.join(large, "host", "left_anti")
-    both = recurring.unionByName(named)
-    return both.groupBy(F.col("host").alias("of_host"), F.col("page_key").alias("of_key"), F.col("page_size").alias("of_size")).agg(F.collect_set("number").alias("without"))
+    pages = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    rows = unsure.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    few = common.materialize(rows.join(pages.where(F.col("pages") < least_pages), "host").select("host", "n"), "few-pages")
+    named = common.join_counted(unsure, few, ["host"]).drop("n")
+    both = recurring.unionByName(named).groupBy("host", "page_key", "page_size").agg(F.collect_set("number").alias("without"), F.count(F.lit(1)).alias("rows"))
+    # an element may be there for both reasons, so this is no less than the page's rows
+    return both.withColumn("n", F.ceil(F.col("rows") / F.size("without"))).drop("rows")
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,7 +310,5 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, article_pages: int
     """page_id, url, text and n_chars of every row."""
     rows = common.ship(_rows(pages))
     gone = common.materialize(removed(counted_subtrees(pages), least_pages, article_pages), "removed")
-    places = gone.agg(F.sum(F.size("without") + 1)).first()[0] or 0
-    same = (rows["host"] == gone["of_host"]) & (rows["page_key"] == gone["of_key"]) & (rows["page_size"] == gone["of_size"])
-    joined = rows.join(F.broadcast(gone) if places <= BROADCAST_PLACES else gone, same, "left")
+    joined = common.join_filtered(rows, gone, ["host", "page_key", "page_size"], "left")
     return joined.select("page_id", "url", "html", "without").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")

@@ -12,8 +12,8 @@ of another label.
    first common token at places i and j of both orders, at most 1 + min(tokens left in either) can be common.
 4. In the texts that are left, each once, the distinct tokens of every block that starts with one are counted exactly,
    by a sliding window over the template's words.
-The template side is a fixed list, so it alone is broadcast; the texts that are left are broadcast by their keys while
-their number is within a checked bound, and joined by these beyond it.
+The template side is a fixed list, so it alone is broadcast. Texts that are left are found by a join on their key, where
+only rows that a filter of a fixed size lets pass are shuffled (``common.join_filtered``).
 
 Base labels come from phrases whose words stand consecutively. They are found by one pattern each on the whole text;
 only ASCII letters are folded.
@@ -79,8 +79,14 @@ TEMPLATES = (
 THRESHOLD = 0.8
 #: Words of a block, as a multiple of the template's words.
 SLACK = 1.25
-#: Texts up to which those left by the filters are broadcast by their keys (at most about 100 bytes each).
-BROADCAST_TEXTS = 500_000
+
+
+#: What only equal texts share.
+KEYS = ["text_hash", "text_length"]
+
+
+def _keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias(KEYS[0]), F.coalesce(F.length(text), F.lit(-1)).alias(KEYS[1])]
 
 
 def lowered(text: Column) -> Column:
@@ -152,53 +158,51 @@ def _words(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, slack: float = SLACK) -> tuple[DataFrame, Index]:
-    """text_key and template of the texts that pass the filters; and the index."""
+    """KEYS, n (rows) and template of the texts that pass the filters; and the index."""
     tokens = sorted({t for _, text in templates for t in text.split()})
-    own = docs.where("text IS NOT NULL").select(common.text_key(F.col("text")).alias("text_key"), F.array_intersect(_words(F.col("text")), _strings(tokens)).alias("own"))
+    own = docs.where("text IS NOT NULL").select(*_keys(F.col("text")), F.array_intersect(_words(F.col("text")), _strings(tokens)).alias("own"))
     own = common.materialize(own.where(F.size("own") > 0), "license-tokens")
     # as many counts as there are tokens, whatever the corpus
     counts = own.select(F.explode("own").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
     index = Index({t: 0 for t in tokens} | {r["token"]: r["n"] for r in counts}, templates, threshold, slack)
     table = index.table(docs.sparkSession)
-    ordered = own.where(F.size("own") >= index.least).groupBy("text_key").agg(F.first("own").alias("own")).select("text_key", F.array_intersect(_strings(index.order), "own").alias("own"))
+    ordered = own.where(F.size("own") >= index.least).groupBy(*KEYS).agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("n")).select(*KEYS, "n", F.array_intersect(_strings(index.order), "own").alias("own"))
     prefixes = table.select("template", "t_tokens", "need", F.posexplode("t_prefix").alias("t_at", "t_token"))
     rows = ordered.select("*", F.posexplode("own").alias("at", "token"))
     pairs = rows.join(F.broadcast(prefixes), F.col("token") == F.col("t_token"))
     possible = 1 + F.least(F.size("own") - F.col("at") - 1, F.size("t_tokens") - F.col("t_at") - 1)
     # with an earlier common token more would be possible, so the first one decides; a pair's other rows say less
     enough = pairs.where((possible >= F.col("need")) & (F.size(F.array_intersect("own", "t_tokens")) >= F.col("need")))
-    return enough.select("text_key", "template").distinct(), index
+    return enough.select(*KEYS, "n", "template").distinct(), index
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
-    """text_key, template (its number), label, first_word and containment of every block and template that match; of
+    """KEYS, template (its number), label, first_word and containment of every block and template that match; of
     blocks that differ only in words outside the template the one that starts with one of its words."""
     found, index = candidates(docs, templates, threshold, slack)
-    found = common.materialize(found.groupBy("text_key").agg(F.collect_set("template").alias("template")).select(F.col("text_key").alias("found_key"), "template"), "license-candidates")
-    found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
-    texts = docs.select(common.text_key(F.col("text")).alias("text_key"), "text").join(found, F.col("text_key") == F.col("found_key"))
-    texts = texts.dropDuplicates(["text_key"]).select("text_key", "text", F.explode("template").alias("template"))
+    found = common.materialize(found.groupBy(*KEYS, "n").agg(F.collect_set("template").alias("template")), "license-candidates")
+    texts = common.join_filtered(docs.select(*_keys(F.col("text")), "text"), found, KEYS).dropDuplicates(KEYS).select(*KEYS, "text", F.explode("template").alias("template"))
     rows = texts.join(F.broadcast(index.table(docs.sparkSession)), "template")
     words = F.regexp_extract_all(lowered(F.col("text")), F.lit(WORD), F.lit(0))
     placed = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-    rows = rows.select("text_key", "template", "label", "t_tokens", "telling", "need", "span", F.filter(placed, lambda x: F.array_contains("t_tokens", x["word"])).alias("hits"))
-    hits = rows.select("text_key", "template", "label", "t_tokens", "telling", "need", "span", F.inline("hits"))
+    rows = rows.select(*KEYS, "template", "label", "t_tokens", "telling", "need", "span", F.filter(placed, lambda x: F.array_contains("t_tokens", x["word"])).alias("hits"))
+    hits = rows.select(*KEYS, "template", "label", "t_tokens", "telling", "need", "span", F.inline("hits"))
     # words less than span apart: at least half a word below and above 1
     order = F.col("at") / (F.col("span") - 0.5)
-    held = F.collect_set("word").over(Window.partitionBy("text_key", "template").orderBy(order).rangeBetween(Window.currentRow, 1))
+    held = F.collect_set("word").over(Window.partitionBy(*KEYS, "template").orderBy(order).rangeBetween(Window.currentRow, 1))
     blocks = hits.withColumn("held", held).where((F.size("held") >= F.col("need")) & (F.size(F.array_except("telling", "held")) == 0))
-    return blocks.select("text_key", "template", "label", F.col("at").cast("long").alias("first_word"), (F.size("held") / F.size("t_tokens")).alias("containment"))
+    return blocks.select(*KEYS, "template", "label", F.col("at").cast("long").alias("first_word"), (F.size("held") / F.size("t_tokens")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (greatest containment of a block,
     1 where a base phrase stands, else 0) of every row."""
     docs = docs.select("doc_id", "text")
-    found = matches(docs, templates, threshold, slack).groupBy(F.col("text_key").alias("found_key"))
-    found = common.materialize(found.agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment")), "licenses")
-    found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
-    figures = base(docs).withColumn("text_key", common.text_key(F.col("text"))).drop("text")
-    joined = figures.join(found, F.col("text_key") == F.col("found_key"), "left")
+    found = matches(docs, templates, threshold, slack).groupBy(*KEYS).agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
+    figures = common.materialize(base(docs).select("*", *_keys(F.col("text"))).drop("text"), "license-figures")
+    copies = figures.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    found = common.materialize(copies.join(found, KEYS), "licenses")
+    joined = common.join_counted(figures, found, KEYS, "left")
     text_of = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     extra = F.coalesce("found", F.array().cast("array<string>"))
     return joined.select(

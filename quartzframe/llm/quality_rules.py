@@ -6,8 +6,9 @@
 3. The places of boilerplate lines are gathered for each host and text, and each text is taken once more without them.
    A document of which too little is left is depleted and rejected.
 
-Counts have partial sums, so a hot host, line or text is one row a task. Boilerplate lines and places are broadcast
-while their size is within a checked bound; beyond it they are joined by line and by text.
+Counts have partial sums, so a hot host, line or text is one row a task. Lines meet boilerplate, and texts their places,
+by joins; hot lines and texts by a broadcast of at most ten thousand of them (``common.join_counted``). Only texts that
+a filter of a fixed size lets pass are shuffled; it decides nothing. The plan is the same at every size.
 
 Rows: a null text has no words and fails; a null host is a host; a null doc_id is kept. Every row is a document, also a
 repeated one. Texts are handled whole, whatever their length. An empty table gives no rows. Extra columns are ignored
@@ -32,8 +33,6 @@ LIMIT = 10
 LEAST_LEFT = 20
 LEAST_LEFT_SHARE = 0.2
 SYMBOLS = r"[#*$%&|<>]"
-#: Boilerplate lines, and places with their texts, up to which they are broadcast (at most about 100 bytes each).
-BROADCAST_LINES = 500_000
 
 
 def line_key(line: Column) -> Column:
@@ -46,16 +45,23 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _keys(source: Column, text: Column) -> dict[str, Column]:
+    """host, text_hash and text_length: what only equal texts of one source share, never null."""
+    host = F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit(""))
+    return {"host": host, "text_hash": F.xxhash64(text), "text_length": F.coalesce(F.length(text), F.lit(-1))}
+
+
 def keyed_lines(docs: DataFrame) -> DataFrame:
-    """source, text_key, place (from 0) and line (key) of every line with a letter."""
+    """host, text_hash, text_length, place (from 0) and line (key) of every line with a letter."""
     keys = F.filter(F.transform(lines(F.col("text")), lambda x, i: F.struct(i.alias("place"), line_key(x).alias("line"))), lambda k: k["line"].isNotNull())
-    return docs.select(F.col("source").cast("string").alias("source"), common.text_key(F.col("text")).alias("text_key"), F.inline(keys))
+    return docs.select(*(c.alias(n) for n, c in _keys(F.col("source"), F.col("text")).items()), F.inline(keys))
 
 
 def boilerplate(keyed: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """source, line and n_docs (distinct texts) of the lines at or above the limit; keyed: as keyed_lines gives them."""
-    once = keyed.groupBy("source", "line", "text_key").agg(F.lit(1).alias("one"))
-    return once.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= limit)
+    """host, line, n (rows of keyed) and n_docs (distinct texts) of the lines at or above the limit; keyed: as keyed_lines
+    gives them."""
+    once = keyed.groupBy("host", "line", "text_hash", "text_length").agg(F.count(F.lit(1)).alias("rows"))
+    return once.groupBy("host", "line").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= limit)
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -84,14 +90,12 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 def with_boilerplate(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs (text, source and others) and the places of its boilerplate lines as ``boilerplate_places``, null if it has none."""
     keyed = common.materialize(keyed_lines(docs), "lines")
-    found = common.materialize(boilerplate(keyed, limit).select(F.col("source").alias("of"), F.col("line").alias("found")), "boilerplate")
-    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_LINES else df
-    hits = keyed.join(small(found, found.count()), keyed["source"].eqNullSafe(F.col("of")) & (keyed["line"] == F.col("found")), "left_semi")
-    places = hits.groupBy("source", "text_key").agg(F.collect_set("place").alias("boilerplate_places"))
-    places = common.materialize(places.select(F.col("source").alias("boilerplate_source"), F.col("text_key").alias("boilerplate_key"), "boilerplate_places"), "places")
-    size = places.agg(F.sum(F.size("boilerplate_places") + 4)).first()[0] or 0
-    same = docs["source"].cast("string").eqNullSafe(F.col("boilerplate_source")) & (common.text_key(docs["text"]) == F.col("boilerplate_key"))
-    return docs.join(small(places, size), same, "left").drop("boilerplate_source", "boilerplate_key")
+    found = common.materialize(boilerplate(keyed, limit).select("host", "line", "n"), "boilerplate")
+    keys = ["host", "text_hash", "text_length"]
+    places = common.join_counted(keyed, found, ["host", "line"]).groupBy(*keys).agg(F.collect_set("place").alias("boilerplate_places"), F.count(F.lit(1)).alias("rows"))
+    # each row of a text has every place once
+    places = common.materialize(places.withColumn("n", F.floor(F.col("rows") / F.size("boilerplate_places"))).drop("rows"), "places")
+    return common.join_filtered(docs.withColumns(_keys(docs["source"], docs["text"])), places, keys, "left").drop(*keys)
 
 
 def _left_lines(text: Column, places: Column) -> Column:
