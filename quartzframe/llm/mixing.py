@@ -7,9 +7,9 @@ Each row gets a hash-random key; rows are range-sorted by (source, key), every r
 running sums say in which range, then at which key, a source's budget is used up. Budgets beyond a source's words
 take whole epochs first. What a source needs to cut itself is one row, so documents are never shuffled with text.
 
-Rows: a null or empty text has size 0 and gives nothing; a null doc_id has a key of its own. Rows that tie on the key
+Rows: texts are counted whole, whatever their length; a null or empty text has size 0 and gives nothing; a null doc_id has a key of its own. Rows that tie on the key
 (the same doc_id in the same source) at the cut share what is left in proportion. An empty table gives no rows.
-The only table that meets in one task has one row per source.
+Extra columns are ignored by ``mix`` and kept by ``mixed_documents``, whatever their names. The only table that meets in one task has one row per source.
 """
 
 from __future__ import annotations
@@ -120,5 +120,5 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: f
 
 
 def _cut_text(text: Column, n: Column) -> Column:
-    """The first n words of text, with single spaces."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(common.WORD), F.lit(0)), 1, n.cast("int")), " ")
+    """The first n words of text, with the white space before each."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"{common.SPACE}*+{common.WORD}"), F.lit(0)), 1, n.cast("int")), "")

@@ -6,7 +6,8 @@
 3. Each pattern's slots of one length are an interval of that length's ranks. Ranks are distributed: a range sort by
    (length, document), a count for each range and length, and a local row number. A hot length spreads over ranges.
 
-Nulls: a null text is an empty one (its only id is the end id); a null doc_id is kept. Repeated rows are packed each.
+Rows: texts are tokenized whole, whatever their length, and cut into as many pieces as they need; a null text is an
+empty one (its only id is the end id); a null doc_id is kept. Repeated rows are packed each.
 An empty table gives no rows. Extra columns of the input are ignored, whatever their names.
 """
 

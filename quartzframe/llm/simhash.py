@@ -13,7 +13,7 @@ into components by alternating large-star and small-star rounds on tables in the
 
 Rows: a null text is an empty one; texts without words have fingerprint zero, which links like any other; a null
 doc_id is kept and never is a component's id unless all of it are null. Repeated rows are one node. Texts are hashed
-whole. An empty table gives no rows.
+whole. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -597,3 +597,20 @@ def test_pipeline_follows_its_stages(spark, tokens, tmp_path):
     pieces = seen[5].collect()
     assert sum(p["length"] for p in pieces) == sum(len(whole_ids(tokens, r["text"])) // 4 for r in mixed)
     assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path / "sf")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())) == Counter((p["doc_id"], p["start"], p["length"], p["ids_crc32"], p["doc_tokens"]) for p in pieces)
+
+
+def test_pipeline_on_edge_rows(spark, tmp_path, tokens):
+    """Nulls in every column, empty and long texts, repeated rows, extra columns; then no rows at all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    made = [(None, h.prose(31, 60), None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, h.prose(32, 50), "en", "s", 9), (3, h.prose(32, 50), "en", "s", 9), (4, h.prose(33, 20_000), "en", "t", 1), (5, h.prose(34, 40) + "\n\tx  y", "en", None, 1)]
+    df = spark.createDataFrame(made, h.DOCS).withColumn("n", F.lit(1)).withColumn("hash", F.lit("x"))
+    for name, docs in (("some", df), ("none", df.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.materialize(stage(spark, docs, folder), "stage")
+            assert docs.columns == df.columns
+        kept = Counter(r["doc_id"] for r in docs.collect())
+        assert set(kept) == ({None, 3, 4, 5} if name == "some" else set())
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        assert {p["doc_id"] for p in pieces} == set(kept)
