@@ -162,6 +162,20 @@ def missing_sources(images: DataFrame, files: DataFrame) -> DataFrame:
     return images.select("image_id").join(files.select(stem_of(F.col("path")).alias("image_id")), "image_id", "left_anti")
 
 
+def without_entry(files: DataFrame, images: DataFrame) -> DataFrame:
+    """Files (path) whose stem no image of a COCO table (file_name) has."""
+    stems = images.select(stem_of(F.col("file_name")).alias("image_id"))
+    return files.select("path", stem_of(F.col("path")).alias("image_id")).join(stems, "image_id", "left_anti")
+
+
+def require_entries(files: DataFrame, images: DataFrame) -> DataFrame:
+    """files, if every one has an entry; else an error that names some."""
+    missing = without_entry(files, images)
+    if examples := [r["image_id"] for r in missing.orderBy("image_id").limit(3).collect()]:
+        raise ValueError(f"{missing.count()} images have no entry, as {examples}: every image must map to a group")
+    return files
+
+
 def summary(boxes: DataFrame, include_empty: DataFrame | None = None) -> DataFrame:
     """One row: boxes in all; fewest, middle and most boxes of an annotated image; elongated boxes (5 to 1 or more).
     include_empty: images that count with 0 boxes if they have none."""

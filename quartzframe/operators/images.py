@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +53,18 @@ def reliability(hashed: DataFrame, hash_column: str) -> DataFrame:
     return row.select("n", "n_distinct", "largest", "entropy", collapsed.alias("collapsed"))
 
 
+def group_by_pattern(items: DataFrame, item: str, pattern: str) -> DataFrame:
+    """items with base: the first group that pattern captures at the start of the item. All or nothing: an item that does
+    not match would become a group of its own, so any such item is refused."""
+    if not re.compile(pattern).groups:
+        raise ValueError(f"the pattern captures no group: {pattern}")
+    made = items.withColumn("base", F.nullif(F.regexp_extract(item, f"^(?:{pattern})", 1), F.lit("")))
+    missed = made.where("base IS NULL").select(item)
+    if examples := [r[0] for r in missed.orderBy(item).limit(3).collect()]:
+        raise ValueError(f"{missed.count()} items do not match {pattern}, as {examples}")
+    return made
+
+
 def group_candidates(items: DataFrame, item: str) -> DataFrame:
     """pattern, n_groups, matched, n, useful for each pattern that matches at all: useful if it matches nearly all items
     and makes more than one group and fewer than items."""

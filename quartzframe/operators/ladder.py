@@ -109,3 +109,15 @@ def lineups(agents: DataFrame, matches: int, seed: int = 42) -> DataFrame:
     games = pairs.select("a", "b", F.explode(F.sequence(F.lit(1), F.lit(matches))).alias("n"))
     keyed = games.withColumn("h", tables.hash_key(F.concat_ws("|", "a", "b", F.col("n").cast("string")), seed))
     return tables.with_rank(keyed, [F.col("h")], "seq").select("seq", "a", "b")
+
+
+def group_lineups(agents: DataFrame, matches: int, players: int, seed: int = 42) -> DataFrame:
+    """seq, players (array): lineups of more than two, matches for each agent; without repeats if there are enough agents.
+    The pool of a ladder is a handful of names."""
+    pool = agents.agg(F.sort_array(F.collect_set("agent")).alias("pool"))
+    games = pool.select("pool", F.explode(F.when(F.size("pool") > 0, F.sequence(F.lit(0), matches * F.size("pool") - 1)).otherwise(F.array().cast("array<int>"))).alias("seq"))
+    drawn = lambda i, text: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("seq").cast("string"), i.cast("string"), text))
+    shuffled = F.transform(F.array_sort(F.transform("pool", lambda a, i: F.struct(drawn(F.lit(0), a).alias("h"), a.alias("a")))), lambda x: x["a"])
+    one = lambda i: F.get("pool", (F.conv(F.substring(drawn(i, F.lit("")), 1, 12), 16, 10).cast("long") % F.size("pool")).cast("int"))
+    chosen = F.when(F.size("pool") >= players, F.slice(shuffled, 1, players)).otherwise(F.transform(F.sequence(F.lit(1), F.lit(players)), one))
+    return games.select(F.col("seq").cast("long").alias("seq"), chosen.alias("players"))

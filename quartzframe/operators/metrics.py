@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quartzframe.operators.drift import is_numeric
@@ -129,3 +129,19 @@ def compare(baseline: DataFrame, tuned: DataFrame) -> DataFrame:
 
 def verdict_of_gain(gain: Column) -> Column:
     return F.when(gain.isNull() | F.isnan(gain), "not comparable").when(gain > 0, "beats baseline").otherwise("does not beat baseline")
+
+
+def number_to_beat(spark: SparkSession, task: str, recorded: DataFrame | None = None, predictions: DataFrame | None = None, override: str | None = None) -> DataFrame:
+    """primary, value, lower_is_better, eval_on: what a later model is held against. An override ("f1_macro=0.8") wins,
+    then what a baseline has recorded (one such row), then its predictions, measured for this task; no row without any."""
+    columns = "primary string, value double, lower_is_better boolean, eval_on string"
+    if override:
+        name, _, value = override.partition("=")
+        return spark.createDataFrame([(name.strip(), float(value.replace(",", "")), name.strip() in LOWER_IS_BETTER, None)], columns)
+    if recorded is not None and not recorded.isEmpty():
+        has = {f.name for f in recorded.schema.fields}
+        return recorded.select("primary", F.col("value").cast("double").alias("value"), "lower_is_better", (F.col("eval_on") if "eval_on" in has else F.lit(None).cast("string")).alias("eval_on"))
+    if predictions is not None:
+        name, made = ("f1_macro", classification(predictions)) if task == "classification" else ("mae", regression(predictions))
+        return made.select(F.lit(name).alias("primary"), F.col(name).cast("double").alias("value"), F.lit(name in LOWER_IS_BETTER).alias("lower_is_better"), F.lit(None).cast("string").alias("eval_on"))
+    return spark.createDataFrame([], columns)

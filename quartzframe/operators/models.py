@@ -72,6 +72,17 @@ def dummy(train: DataFrame, dev: DataFrame, target: str, task: str, key: str | N
     return joined.withColumns({"y_pred": F.aggregate("classes", start, step)["label"], "y_true": y}).drop("classes", "total", "_draw")
 
 
+#: Names of models that are trained elsewhere.
+ELSEWHERE = ("nn", "neural", "mlp", "cnn", "rnn", "lstm", "transformer", "torch", "keras", "tensorflow", "rl", "dqn", "ppo")
+
+
+def require_tabular(name: str) -> str:
+    """name, unless something in it says that the model is no tabular one."""
+    if found := [p for p in ELSEWHERE if p in name.lower()]:
+        raise ValueError(f"{name} ({found[0]}) is not trained here; tabular families are {', '.join(FAMILIES)}")
+    return name
+
+
 def estimator(family: str, task: str, n_classes: int = 2, seed: int = 42) -> tuple[Estimator, str]:
     """An estimator and the family that it is: boosting of more than two classes falls back to a forest; families of
     other libraries fall back to boosting."""

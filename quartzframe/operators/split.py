@@ -59,6 +59,21 @@ def group_split(df: DataFrame, group: str, seed: int = 42, ratios=RATIOS) -> Dat
     return df.join(sides, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
+def holdout(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Two sides by whole groups in hash order: val has the share of the groups, rounded up, and leaves one to train."""
+    if not 0 < share < 1:
+        raise ValueError(f"a holdout share lies between 0 and 1: {share}")
+    groups = df.select(group).distinct().withColumn("_hash", tables.hash_key(F.col(group), seed))
+    n = groups.count()
+    if n < 2:
+        raise ValueError(f"a grouped holdout needs two groups or more, found {n}")
+    held = min(n - 1, max(1, -int(-round(share * n, 9) // 1)))
+    # the hash at the cut is all that the rows need
+    cut = groups.orderBy("_hash", group).limit(held).agg(F.max(F.struct("_hash", F.col(group).alias("g"))).alias("c")).first()["c"]
+    own = F.struct(tables.hash_key(F.col(group), seed).alias("_hash"), F.col(group).alias("g"))
+    return df.withColumn("split", F.when(own <= F.struct(F.lit(cut["_hash"]).alias("_hash"), F.lit(cut["g"]).alias("g")), "val").otherwise("train"))
+
+
 def temporal_split(df: DataFrame, time: str, key: str, ratios=RATIOS) -> DataFrame:
     """Rows in order of time, nulls last, ties by key, cut at the rounded shares."""
     check_ratios(ratios)

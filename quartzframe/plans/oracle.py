@@ -285,6 +285,12 @@ def sql() -> dict[str, str]:
         "split_group": """WITH g AS (SELECT user_id, row_number() OVER (ORDER BY md5('42:' || user_id), user_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events)),
           h AS (SELECT *, ceil(0.3 * n) AS held, ceil(0.5 * ceil(0.3 * n)) AS t FROM g)
           SELECT event_id, user_id, CASE WHEN r < t THEN 'test' WHEN r < held THEN 'val' ELSE 'train' END AS split FROM events JOIN h USING (user_id)""",
+        "split_holdout": """WITH g AS (SELECT user_id, row_number() OVER (ORDER BY md5('42:' || user_id), user_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events))
+          SELECT event_id, user_id, CASE WHEN r <= ceil(0.2 * n) THEN 'val' ELSE 'train' END AS split FROM events JOIN g USING (user_id)""",
+        "value_kinds": r"""WITH c AS (SELECT n::INT AS n, cell FROM (VALUES (0, ' 1.5'), (1, '1e5'), (2, '1_000'), (3, '1d'), (4, '0x10'), (5, 'inf'), (6, '-Infinity'), (7, 'NA'), (8, ''), (9, 'nan'), (10, 'None'), (11, 'text'), (12, '.5'), (13, '5.'), (14, '1__0'), (15, '1e999'), (16, '+7'), (17, '--1')) AS v(n, cell))
+          SELECT n, cell, CASE WHEN trim(cell) IN ('', 'NA', 'nan', 'None') OR regexp_full_match(lower(trim(cell)), '[+-]?(inf|infinity|nan)') THEN 'missing'
+            WHEN NOT regexp_full_match(lower(trim(cell)), '[+-]?([0-9]+(_[0-9]+)*[.]?([0-9]+(_[0-9]+)*)?|[.][0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?') THEN 'text'
+            WHEN coalesce(isfinite(try_cast(replace(trim(cell), '_', '') AS DOUBLE)), false) THEN 'number' ELSE 'missing' END AS kind FROM c""",
         "split_temporal": """SELECT o_orderkey, CASE WHEN r < round_even(n * 0.7, 0) THEN 'train' WHEN r < round_even(n * 0.7, 0) + round_even(n * 0.15, 0) THEN 'val' ELSE 'test' END AS split FROM (
           SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey) - 1 AS r, (count(*) OVER ())::DOUBLE AS n FROM orders)""",
         "split_leakage_check": f"""WITH s AS (SELECT * FROM {_split('(SELECT doc_id, source, text FROM documents)', 'doc_id', 42)})

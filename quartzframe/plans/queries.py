@@ -164,6 +164,11 @@ def split_group(spark, d):
     return split.group_split(table(spark, d, "events").select("event_id", "user_id"), "user_id", 42)
 
 
+@query
+def split_holdout(spark, d):
+    return split.holdout(table(spark, d, "events").select("event_id", "user_id"), "user_id")
+
+
 @query
 def split_temporal(spark, d):
     return split.temporal_split(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").drop("o_orderdate")

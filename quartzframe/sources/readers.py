@@ -148,3 +148,27 @@ def find_file(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """id, document of whole JSON files, for operators.governance.competition_check."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("id"), F.col("value").alias("document"))
+
+
+def read_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """image_id and a column for each level of folders (fold, side), as sources.writers.write_ids has made them."""
+    return spark.read.text(folder).withColumnRenamed("value", "image_id").where("image_id <> ''")
+
+
+def read_held_out(spark: SparkSession, folder: str, fold: int = 0) -> DataFrame:
+    """image_id and split_provenance of the held-out ids of a folder of splits: val_ids.txt in it or, failing that, in its
+    fold_<fold>; the provenance of split_summary.json beside it, UNKNOWN without one. No such ids are an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    top = F.element_at(F.split("path", "/"), -2)
+    ids = files.where(F.col("path").endswith("/val_ids.txt") & (top != f"fold_{fold}") & ~top.rlike("^fold_[0-9]+$") | F.col("path").endswith(f"/fold_{fold}/val_ids.txt"))
+    found = [r["path"] for r in ids.orderBy(F.size(F.split("path", "/")), "path").limit(1).collect()]
+    if not found:
+        raise ValueError(f"no val_ids.txt in {folder} or its fold_{fold}")
+    summary = [r["path"] for r in files.where(F.col("path").endswith("/split_summary.json")).orderBy(F.size(F.split("path", "/")), "path").limit(1).collect()]
+    said = spark.read.schema("split_provenance string").option("multiLine", True).json(summary).first() if summary else None
+    return read_ids(spark, found[0]).withColumn("split_provenance", F.lit(said["split_provenance"] if said and said["split_provenance"] else "UNKNOWN"))
+
+
+def mentions(spark: SparkSession, path: str, text: str) -> bool:
+    """Does a text file hold text, in any case."""
+    return not spark.read.text(path).where(F.contains(F.lower("value"), F.lit(text.lower()))).isEmpty()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzframe.functions import scalars
-from quartzframe.operators import components, detection, drift, governance, images, ladder, metrics, models, split, stats, submission
+from quartzframe.operators import components, detection, drift, governance, images, ladder, metrics, models, profile, split, stats, submission
 from quartzframe.plans import tables
 from quartzframe.sources import readers, writers
 from quartzframe.streaming import drift_stream
@@ -364,3 +364,66 @@ def test_small_guards(spark):
         split.with_provenance(df)
     assert split.with_provenance(df, acknowledged=True).first()["split_provenance"].startswith("per-image")
     assert split.named_split(df, "Train").count() == 1
+
+
+def test_refusals_and_flags(spark):
+    items = spark.createDataFrame([("a1_x",), ("a1_y",), ("b7_x",)], "item string")
+    assert {r["item"]: r["base"] for r in images.group_by_pattern(items, "item", r"^(.*)_[^_]+$").collect()} == {"a1_x": "a1", "a1_y": "a1", "b7_x": "b7"}
+    for pattern in (r"a\d", r"(a\d)"):
+        with pytest.raises(ValueError):
+            images.group_by_pattern(items, "item", pattern)
+    files, entries = spark.createDataFrame([("d/a.png",), ("d/b.png",)], "path string"), spark.createDataFrame([("a.jpg",)], "file_name string")
+    assert [r["image_id"] for r in detection.without_entry(files, entries).collect()] == ["b"]
+    with pytest.raises(ValueError):
+        detection.require_entries(files, entries)
+    wide = spark.range(1).select(*(F.lit(1).alias(f"c{i}") for i in range(501)))
+    assert profile.wide_numeric(wide) and not profile.wide_numeric(wide.drop("c0"))
+    assert models.require_tabular("gbt") == "gbt"
+    for name in ("MLPClassifier", "torch-tabular", "dqn"):
+        with pytest.raises(ValueError):
+            models.require_tabular(name)
+
+
+def test_holdout_keeps_groups_whole(spark):
+    df = spark.range(0, 1000).select("id", (F.col("id") % 17).alias("g"))
+    got = split.holdout(df, "g").groupBy("g").agg(F.count_distinct("split").alias("sides"), F.first("split").alias("side")).collect()
+    assert all(r["sides"] == 1 for r in got) and sum(r["side"] == "val" for r in got) == 4
+    assert split.holdout(df.where("g < 2"), "g", 0.9).where("split = 'train'").select("g").distinct().count() == 1
+    with pytest.raises(ValueError):
+        split.holdout(df.where("g = 0"), "g")
+
+
+def test_number_to_beat(spark):
+    predictions = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0)], "y_true double, y_pred double")
+    assert tuple(metrics.number_to_beat(spark, "regression", override="rmse=1,200.5").first()) == ("rmse", 1200.5, True, None)
+    recorded = spark.createDataFrame([("f1_macro", 0.7, False)], "primary string, value double, lower_is_better boolean")
+    assert tuple(metrics.number_to_beat(spark, "classification", recorded, predictions).first()) == ("f1_macro", 0.7, False, None)
+    assert tuple(metrics.number_to_beat(spark, "regression", None, predictions).first()) == ("mae", 0.5, True, None)
+    assert metrics.number_to_beat(spark, "regression").isEmpty()
+
+
+def test_lineups_of_groups(spark):
+    agents = spark.createDataFrame([(f"a{i}",) for i in range(5)], "agent string")
+    got = ladder.group_lineups(agents, 4, 3).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(20)) and all(len(set(r["players"])) == 3 for r in got) and len({tuple(r["players"]) for r in got}) > 5
+    few = ladder.group_lineups(agents.limit(2), 3, 4).collect()
+    assert len(few) == 6 and all(len(r["players"]) == 4 and None not in r["players"] for r in few)
+    assert ladder.group_lineups(agents.limit(0), 3, 4).isEmpty()
+
+
+def test_held_out_ids_of_a_folder(spark, tmp_path):
+    for k in (0, 1):
+        (tmp_path / "s" / f"fold_{k}").mkdir(parents=True)
+        (tmp_path / "s" / f"fold_{k}" / "val_ids.txt").write_text(f"im{k}\n\n x{k} \n")
+    assert {tuple(r) for r in readers.read_held_out(spark, str(tmp_path / "s"), 1).collect()} == {("im1", "UNKNOWN"), ("x1", "UNKNOWN")}
+    (tmp_path / "s" / "split_summary.json").write_text('{"split_provenance":\n "grouped by seq", "k": 2}')
+    (tmp_path / "s" / "val_ids.txt").write_text("top\n")
+    assert [tuple(r) for r in readers.read_held_out(spark, str(tmp_path / "s"), 1).collect()] == [("top", "grouped by seq")]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "note.md").write_text("A Report\n")
+    with pytest.raises(ValueError):
+        readers.read_held_out(spark, str(tmp_path / "empty"))
+    assert readers.mentions(spark, str(tmp_path / "empty" / "note.md"), "report") and not readers.mentions(spark, str(tmp_path / "empty" / "note.md"), "slice")
+    ids = spark.createDataFrame([(0, "val", "a"), (1, "train", "b")], "fold int, side string, image_id string")
+    writers.write_ids(ids, str(tmp_path / "folds"), ["fold", "side"])
+    assert {(r["fold"], r["side"], r["image_id"]) for r in readers.read_folds(spark, str(tmp_path / "folds")).collect()} == {(0, "val", "a"), (1, "train", "b")}
