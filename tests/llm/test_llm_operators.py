@@ -569,6 +569,7 @@ def test_shared_folder(spark, monkeypatch):
     assert common.shared_dir(spark)
     table = common.materialize(spark.range(3), "t")
     assert table.count() == 3 and table.isLocal() is False
+    assert common.own_dir(spark).startswith(common.shared_dir(spark)) and common.own_dir(spark).endswith(spark.sparkContext.applicationId)
 
 
 # pipeline
