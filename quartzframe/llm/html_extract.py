@@ -194,29 +194,31 @@ def _key(parts: tuple) -> int:
     return xxh3_64_intdigest("\x00".join(parts).encode()) - (1 << 63)
 
 
-def subtrees(root: Node) -> tuple[list[tuple[Node, int, bool]], int]:
-    """Elements with text that may be removed as templates, with the hash of their subtree and whether they lie inside a
-    main part; and the hash of the main parts."""
+def subtrees(root: Node) -> tuple[list[tuple[Node, int, bool, bool]], int]:
+    """Elements with text that may be removed as templates, with the hash of their subtree, whether they lie inside a main
+    part, and whether their text would stay without that; and the hash of the main parts."""
     hashes: dict[int, int] = {}
-    inside: dict[int, bool] = {0: False}
+    inside: dict[int, bool] = {}
+    stays: dict[int, bool] = {}
     order: list[Node] = []
     parts = _parts(root)
-    starts = {id(p) for p in parts if p.main}
-    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    starts, shown = {id(p) for p in parts if p.main}, {id(p) for p in parts}
+    todo: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
     while todo:
-        node, done, within = todo.pop()
+        node, done, within, stay = todo.pop()
         children = [x for x in node.items if isinstance(x, Node)]
         if not done:
-            inside[id(node)] = within
+            stay = id(node) in shown or (stay and not node.noise)
+            inside[id(node)], stays[id(node)] = within, stay
             within = within or id(node) in starts
-            todo.append((node, True, within))
-            todo += [(x, False, within) for x in children]
+            todo.append((node, True, within, stay))
+            todo += [(x, False, within, stay) for x in children]
             continue
         inner = [t for x in node.items if (t := str(hashes.get(id(x), "")) if isinstance(x, Node) else _SPACES.sub(" ", x).strip())]
         if inner:
             hashes[id(node)] = _key((node.tag, *inner))
             order.append(node)
-    found = [(n, hashes[id(n)], inside[id(n)]) for n in order if n.number and id(n) not in starts and (not inside[id(n)] or n.tag in CONTAINERS or n.perhaps or n.noise)]
+    found = [(n, hashes[id(n)], inside[id(n)], stays[id(n)]) for n in order if n.number and id(n) not in starts and (not inside[id(n)] or n.tag in CONTAINERS or n.perhaps or n.noise)]
     return found, _key(tuple(str(hashes.get(id(p), "")) for p in parts))
 
 
@@ -259,7 +261,7 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", html.alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("page_key"), F.length(html).alias("page_size"))
 
 
-SUBTREES = "host string, page_key long, page_size int, page long, subtree long, in_article boolean, perhaps boolean, number int"
+SUBTREES = "host string, page_key long, page_size int, page long, subtree long, in_article boolean, stays boolean, perhaps boolean, number int"
 
 
 def _subtree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,7 +269,7 @@ def _subtree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for host, key, size, html in zip(batch["host"], batch["page_key"], batch["page_size"], batch["html"], strict=True):
             found, main = subtrees(parse(html))
-            out += [(host, key, size, main, x, inside, node.perhaps and not node.noise, node.number) for node, x, inside in found]
+            out += [(host, key, size, main, x, inside, stay, node.perhaps and not node.noise, node.number) for node, x, inside, stay in found]
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SUBTREES.split(", ")])
 
 
@@ -288,9 +290,11 @@ def templates(found: DataFrame, least_pages: int = LEAST_PAGES, article_pages: i
 def removed(found: DataFrame, least_pages: int = LEAST_PAGES, article_pages: int = ARTICLE_PAGES) -> DataFrame:
     """host, page_key, page_size, without (numbers of elements) and n (rows) of the pages that lose some."""
     known = common.materialize(templates(found, least_pages, article_pages).drop("n_pages"), "templates")
+    every = found
+    found = found.where("stays")  # the rest is counted only: it goes by its tag, or lies beside the article
     recurring = common.join_counted(found, known, ["host", "subtree", "in_article"]).drop("n")
     unsure = found.where("perhaps")
-    pages = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    pages = every.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     rows = unsure.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     few = common.materialize(rows.join(pages.where(F.col("pages") < least_pages), "host").select("host", "n"), "few-pages")
     named = common.join_counted(unsure, few, ["host"]).drop("n")
