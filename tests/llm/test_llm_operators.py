@@ -556,6 +556,27 @@ def test_near_copies_of_edited_texts(spark):
     assert got.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
 
 
+def test_near_copies_that_bands_and_fingerprints_miss(spark):
+    """Pairs of 0.8 similarity without a common band and with unlike fingerprints; then all but one band left out."""
+    factors, made = near_copies._factors(near_copies.BANDS * near_copies.ROWS), []
+    for i in range(20_000):
+        words = h.prose(50_000 + i, 95).split()
+        a, b = " ".join(words), " ".join(words[:85] + [f"new{i}x{k}" for k in range(10)])
+        (x, p), (y, q) = (near_copies.sketch(t.encode(), factors)[:2] for t in (a, b))
+        if not (p == q).any() and bin((x ^ y) & ((1 << 64) - 1)).count("1") > 2:
+            made += [a, b]
+        if len(made) == 6:
+            break
+    assert len(made) == 6 and all(near_copies.similarity(a.encode(), b.encode()) >= 0.8 for a, b in zip(made[::2], made[1::2], strict=True))
+    base = h.prose(60_000, 300).split()
+    chain = [" ".join(base[:k] + [f"w{k}x{i}" for i in range(20)] + base[k + 20 :]) for k in (0, 20, 140, 280)] + [" ".join(base[40:]), " ".join(base[61:])]
+    texts = made + chain + ["one two three four", "One two three four", "one two three", h.prose(60_001, 6), *(h.prose(60_002, 40) + f" end{i}" for i in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = h.first_of_near_copies(enumerate(texts))
+    for bands in (near_copies.BANDS, 1):
+        assert Counter(map(tuple, near_copies.one_of_each(df, bands=bands).collect())) == want
+
+
 def test_links_are_complete(spark):
     rng = random.Random(8)
     centers = [rng.getrandbits(64) for _ in range(40)]
