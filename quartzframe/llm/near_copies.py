@@ -14,7 +14,8 @@ all texts in one order, near copies share at least l shingles among the first n
    and a text with fewer than l others has no near copy. That leaves few texts.
 2. The same with the shingles that texts of two groups keep: a group of near copies of any size leaves as a whole.
 3. What is left is decided over all its shingles: 0.8 of them must be held by another group, too. Ordered by the number of
-   texts that hold them, rare ones first, texts that share one of their first n_shared - ceil(0.8 n) + 1 meet.
+   texts that hold them, rare ones first, texts meet at one of their first n - ceil(0.8 n) + 1. Two texts of n and m must
+   share 4 / 9 of n + m, so the first shingle that they share has so many at or after its place in both, or they part.
 
 Every candidate pair is decided by its similarity over the whole texts. Only texts with a candidate are moved, once to
 their own rows and once to each pair; pairs with one hub are dealt by the skew handling of the join. Copies of a text are
@@ -219,9 +220,12 @@ def missed(rows: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = SH
     shared = _of_two_groups(common.materialize(every, "all-shingles"), "all-shingles-of-groups")
     of_text = Window.partitionBy("node")
     shared = shared.withColumns({"place": F.row_number().over(of_text.orderBy("n", "shingle")), "n_shared": F.count(F.lit(1)).over(of_text)})
-    first = common.materialize(shared.where("place <= n_shared - needed + 1").select("node", "root", "size", "needed", "shingle"), "first-shingles")
-    other = first.select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("node", "root", "size", "needed")))
-    meet = first.join(other.hint("merge"), "shingle").where("node > hub_node AND root <> hub_root AND size >= hub_needed AND hub_size >= needed")
+    # onward: shingles at or after this one; those of one group are before all others
+    first = shared.where("place <= n_shared - needed + 1").select("node", "root", "size", (F.col("n_shared") - F.col("place") + 1).alias("onward"), "shingle")
+    first = common.materialize(first, "first-shingles")
+    other = first.select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("node", "root", "size", "onward")))
+    enough = F.least("onward", "hub_onward") >= F.ceil((F.col("size") + F.col("hub_size")) * (least / (1 + least)) - 1e-9)
+    meet = first.join(other.hint("merge"), "shingle").where("node > hub_node AND root <> hub_root").where(enough)
     pairs = common.materialize(meet.select("node", F.col("hub_node").alias("hub")).distinct(), "more-candidates")
     return _links(pairs, texts, least, shingle)
 
