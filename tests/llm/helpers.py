@@ -203,3 +203,19 @@ class Feistel:
 
 def luhn(digits):
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def python_workers(df) -> int:
+    """The most Python workers that a task of df has at a time: nodes in Python with no exchange between them."""
+
+    def walk(node) -> tuple[int, int]:  # of the tasks that this node is in, and of any below
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        children = [walk(node.children().apply(i)) for i in range(node.children().size())]
+        own, below = max((x for x, _ in children), default=0), max((x for _, x in children), default=0)
+        if name in ("Exchange", "BroadcastExchange"):
+            return 0, max(own, below)
+        return own + name.endswith(("InPandas", "InArrow", "EvalPython")), below
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))

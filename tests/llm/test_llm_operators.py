@@ -403,6 +403,20 @@ def test_suffix_dedup(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_has_one_python_worker_a_task(spark, monkeypatch):
+    p = h.prose(76, 400)
+    pairs = [(1, p), (2, "é" + p[:2000]), (None, "déjà vu"), (4, None), (5, h.prose(75, 300)), (5, h.prose(75, 3))]
+    plans, materialize = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: plans.append(df) or materialize(df, name))
+    plans.append(suffix_dedup.remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string")))
+    assert len(plans) > 5 and [h.python_workers(df) for df in plans].count(0) < len(plans)
+    assert max(h.python_workers(df) for df in plans) == 1
+    rows = plans[-1].collect()
+    assert sorted((tuple(r)[:5] for r in rows), key=repr) == h.repeats(pairs, 400)
+    left = {(r["doc_id"], r["text"]) for r in rows if not r["n_removed"]}
+    assert left == {(i, x or "") for i, x in pairs if i not in (1, 2)}
+
+
 def test_suffix_dedup_of_very_long_texts(spark):
     long = h.prose(77, 20_000)
     pairs = [(1, long), (2, h.prose(78, 50) + long[30_000:90_000] + h.prose(79, 50)), (3, "é" * 4000), (4, h.prose(80, 20_000))]
