@@ -219,3 +219,19 @@ def python_workers(df) -> int:
         return own + name.endswith(("InPandas", "InArrow", "EvalPython")), below
 
     return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def join_rows(spark, run) -> int:
+    """The most rows that one join makes while run() runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    before, most = ids(), 0
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for i in ids() - before:
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most

@@ -426,6 +426,18 @@ def test_suffix_dedup_of_very_long_texts(spark):
     assert got[2]["text"] == "" and got[2]["n_removed"] == 8000 and got[3]["text"] == pairs[3][1] and got[3]["n_spans"] == 0
 
 
+def test_suffix_dedup_joins_no_anchors_of_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    passage = h.prose(81, 5000)
+    pairs = [(k if k % 7 else None, h.prose(100 + k, 40) + passage[: len(passage) - 3 * k] + h.prose(200 + k, 40)) for k in range(30)]
+    pairs += [(50, passage), (50, passage), (51, h.prose(82, 300)), (52, passage[:399])]
+    rows = []
+    most = h.join_rows(spark, lambda: rows.extend(suffix_dedup.remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string")).drop("text").collect()))
+    assert sorted(map(tuple, rows), key=repr) == h.repeats(pairs, 400)
+    # some 13,000 anchors; windows at the ends of passages are joined, some 150 of them a document
+    assert most < 250 * len(pairs)
+
+
 # 8
 
 
